@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import timestamps
+from . import cleaning_queries, scalar_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,21 +16,20 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _modules() -> list:
-    return []
+MODULES = (scalar_queries, cleaning_queries)
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "p3_found": lambda s, d: timestamps.found_instants(_t(s, d, "episodes"), _t(s, d, "shows"), _t(s, d, "click_log"), _t(s, d, "feed_zones")),
     }
-    for m in _modules():
-        out |= m.queries()
+    for m in MODULES:
+        out |= m.QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in _modules():
-        out |= m.oracle_sql()
+    for m in MODULES:
+        out |= m.SQL
     return out
