@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import free_name
+from ..session import cut_lineage, free_name
 
 TOKEN = 6  # letters of a token
 DEPTH = 2  # tokens that lead to a leaf
@@ -83,11 +83,18 @@ def _local_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(template=[" ".join(tree[path][i]) for path, i in at])
 
 
-def _merge_leaf(part: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf from all partitions, merged in their order of text."""
-    merged: list[list[str]] = []
-    place = {t: _absorb(merged, t.split(" ")) for t in sorted(part.template)}
-    return part.assign(merged=[" ".join(merged[place[t]]) for t in part.template])
+def _merge_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Templates of each leaf from all partitions, merged in their order of text. A partition holds whole leaves."""
+    leaves: dict[tuple, list[tuple[str, int]]] = {}
+    for b in batches:
+        for source, leaf, template, docs in zip(b.source, b.leaf, b.template, b.docs):
+            leaves.setdefault((source, leaf), []).append((template, docs))
+    rows = []
+    for (source, leaf), found in leaves.items():
+        merged: list[list[str]] = []
+        at = [(t, n, _absorb(merged, t.split(" "))) for t, n in sorted(found)]
+        rows += [(source, leaf, t, n, " ".join(merged[i])) for t, n, i in at]
+    yield pd.DataFrame(rows, columns=["source", "leaf", "template", "docs", "merged"])
 
 
 def repeated_lines(lines: DataFrame, documents_of: DataFrame, least_docs: int = 5, share: float = 0.2) -> DataFrame:
@@ -101,9 +108,10 @@ def repeated_lines(lines: DataFrame, documents_of: DataFrame, least_docs: int =
     leaves = counted.where(F.col("docs") >= least_docs).join(documents_of, "source").where(enough).select("source", "leaf")
     there = lines.withColumn("leaf", _leaf(F.col("key"))).join(leaves, ["source", "leaf"], "left_semi")
     keys = there.groupBy("source", "leaf", "key").agg(F.countDistinct("doc").alias("docs"))
-    trees = keys.mapInPandas(_local_trees, "source string, leaf bigint, key string, docs bigint, template string")
+    # Both are read twice below and small: lines of leaves that can hold a case, and their templates.
+    trees = cut_lineage(keys.mapInPandas(_local_trees, "source string, leaf bigint, key string, docs bigint, template string"))
     local = trees.groupBy("source", "leaf", "template").agg(F.sum("docs").alias("docs"))
-    merged = local.groupBy("source", "leaf").applyInPandas(_merge_leaf, "source string, leaf bigint, template string, docs bigint, merged string")
+    merged = cut_lineage(local.repartition("source", "leaf").mapInPandas(_merge_leaves, "source string, leaf bigint, template string, docs bigint, merged string"))
     covering = merged.groupBy("source", "leaf", "merged").agg(F.sum("docs").alias("docs")).join(documents_of, "source").where(enough).select("source", "leaf", "merged", "documents")
     chosen = merged.join(covering, ["source", "leaf", "merged"]).select("source", "leaf", "template", "merged", "documents")
     return trees.join(chosen, ["source", "leaf", "template"]).where(enough).select("source", "key", F.col("merged").alias("template"), "docs")
