@@ -17,7 +17,7 @@ def normalize_language(s, d):
 
 
 def parse_duration(s, d):
-    return t(s, d, "episodes").select("episode_id", X.parse_duration(F.col("duration")).alias("duration_sec")).distinct()
+    return t(s, d, "episodes").select("episode_id", F.coalesce(X.parse_duration(F.col("duration")), F.lit(-1)).alias("duration_sec")).distinct()
 
 
 def episode_id(s, d):
@@ -96,7 +96,7 @@ DURATION = """(SELECT CASE len(p) WHEN 1 THEN p[1] WHEN 2 THEN p[1] * 60 + p[2]
 
 SQL = {
     "normalize_language": f"SELECT DISTINCT show_id, {NORM_LANG.format(x='language')} AS language FROM raw_shows",
-    "parse_duration": f"SELECT DISTINCT episode_id, {DURATION.format(x='duration')} AS duration_sec FROM episodes",
+    "parse_duration": f"SELECT DISTINCT episode_id, coalesce({DURATION.format(x='duration')}, -1) AS duration_sec FROM episodes",
     "episode_id": "SELECT DISTINCT episode_id, 'episode:apple:' || split_part(show_id, ':', 3) || ':' || substring(md5(coalesce(guid, '')), 1, 8) AS computed_id FROM episodes",
     "route_index": f"SELECT target_index, {ALIAS} AS alias, replace({ALIAS}, 'episodes-', '') AS language, count(*) AS shows FROM shows GROUP BY ALL",
     "version_clean": "SELECT model_name, embedding_version AS raw, split_part(embedding_version, '/', -1) AS clean, replace(model_name, '/', '--') || '__' || split_part(embedding_version, '/', -1) || '__dim384' AS slug, count(DISTINCT vec_id) AS vectors FROM episode_vectors GROUP BY ALL",
