@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import timestamps
-from . import cleaning_queries, eval_queries, scalar_queries, search_queries
+from . import cleaning_queries, eval_queries, scalar_queries, search_queries, state_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-MODULES = (scalar_queries, cleaning_queries, search_queries, eval_queries)
+MODULES = (scalar_queries, cleaning_queries, search_queries, eval_queries, state_queries)
 
 
 def queries() -> dict[str, Query]:
