@@ -196,10 +196,13 @@ class State:
         return out
 
     def finish(self) -> list[int]:
-        self._whole(self.first)
+        """Counts with the lines at the edges; the state itself stays as it is."""
+        out = object.__new__(State)
+        out.counts = self.counts
+        out._whole(self.first)
         if self.last is not None:
-            self._whole(self.last)
-        return self.counts
+            out._whole(self.last)
+        return out.counts
 
 
 def _merged(states: list[State]) -> State:
