@@ -104,12 +104,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[一-鿿]|[\p{L}\p{N}_&&[^一-鿿]]+"), F.lit(0))
 
 
-def bigrams(text: Column) -> Column:
-    """Words of the Chinese field: pairs of neighbouring ideographs, and words without ideographs as they are."""
-    t = tokens(text)
-    pair = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.element_at(t, i), F.element_at(t, i + 1)))
-    two = F.filter(F.when(F.size(t) > 1, pair).otherwise(F.array().cast("array<string>")), lambda x: F.regexp_like(x, F.lit(r"^[一-鿿]{2}$")))
-    return F.concat(two, F.filter(t, lambda x: ~F.regexp_like(x, F.lit(r"^[一-鿿]$"))))
+def bigrams(words: Column) -> Column:
+    """Words of the Chinese field from those of the standard analyzer: pairs of neighbouring ideographs, and words without ideographs as they are.
+
+    `words` should be a plain column, since it is read several times.
+    """
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, b))
+    two = F.filter(pairs, lambda x: F.regexp_like(x, F.lit(r"^[一-鿿]{2}$")))
+    return F.concat(two, F.filter(words, lambda x: ~F.regexp_like(x, F.lit(r"^[一-鿿]$"))))
 
 
 def prefixes(text: Column, least: int = 2, most: int = 20) -> Column:
