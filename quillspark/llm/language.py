@@ -29,6 +29,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 600, 3000
 PROFILE = 1000
 #: An ideograph or kana counts as so many Latin letters where scripts are mixed; only the n-grams of the heavier script are compared.
 EAST_WEIGHT = 3
+#: How much nearer another language must be for a line to differ from its document's main language: by this share of the distance, or by so many places.
+MARGIN, PLACES = 0.3, 100.0
 
 _NOISE = re.compile(r"</?[A-Za-z][^<>]*>|(?:https?://|www\.)\S+|\S+@\S+\.\S+|[@#]\w+")
 _PACK = (21, 42)
@@ -111,16 +113,20 @@ class Profiles:
         langs, confidence = np.full(len(lines), None, object), np.zeros(len(lines))
         if not lines or not self.languages:
             return langs, confidence
-        d, known, letters = self.distances(lines)
-        best = np.argsort(d, axis=1, kind="stable")
-        rows = np.arange(len(lines))
-        least = d[rows, best[:, 0]]
-        second = d[rows, best[:, 1]] if len(self.languages) > 1 else np.full(len(lines), np.inf)
-        good = (letters > 0) & (known > 0)
-        langs[good] = np.array(self.languages, object)[best[good, 0]]
-        confidence[good] = 1 - least[good] / np.maximum(second[good], 1)
+        best, nearness, _ = self.nearest(lines)
+        good = best >= 0
+        langs[good] = np.array(self.languages, object)[best[good]]
+        others = nearness.copy()
+        others[np.arange(len(lines)), best] = -1
+        confidence[good] = 1 - np.maximum(others.max(axis=1)[good], 0) if len(self.languages) > 1 else 1.0
         return langs, confidence
 
+    def nearest(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the nearest language (-1 for none); for each language the least distance over its own, 1 for the nearest; and its distance."""
+        d, known, letters = self.distances(lines)
+        best = np.where((letters > 0) & (known > 0), d.argmin(axis=1), -1)
+        return best, (np.maximum(d.min(axis=1, keepdims=True), 1e-6) / np.maximum(d, 1e-6)).astype("f4"), d.astype("f4")
+
 
 def fit_profiles(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, size: int = PROFILE, languages: tuple[str, ...] = LANGUAGES) -> Profiles:
     """Profiles of the languages from a bounded sample of labelled rows: `sample_rows` of each label, in the order of a hash of their text.
@@ -155,42 +161,56 @@ def tag_language(tag: Column) -> Column:
 _LINES = "main string, confidence double, langs array<string>, confidences array<double>"
 
 
-def _classify_lines(profiles: Profiles):
+def _main(votes: list[int], lengths: list[int]) -> int:
+    """The language of most lines, of more characters among equals; -1 without any."""
+    count, size = Counter(v for v in votes if v >= 0), Counter()
+    for v, n in zip(votes, lengths):
+        size[v] += n
+    return min(count, key=lambda v: (-count[v], -size[v], v)) if count else -1
+
+
+def _classify_lines(profiles: Profiles, margin: float, places: float):
+    names = [*profiles.languages, None]
+
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             split = [[] if t is None else t.split("\n") for t in texts]
             seen: dict[str, int] = {}  # a standing line is classified once a batch
             at_line = np.array([seen.setdefault(x, len(seen)) for lines in split for x in lines], "i8")
             flat = list(seen)
-            langs, sure = np.full(len(flat), None, object), np.zeros(len(flat))
-            for a in range(0, len(flat), 4000):
-                langs[a : a + 4000], sure[a : a + 4000] = profiles.classify(flat[a : a + 4000])
-            langs, sure = langs[at_line], sure[at_line]
+            best, near, d = np.full(len(flat), -1), *(np.ones((len(flat), max(1, len(profiles.languages))), "f4") for _ in range(2))
+            for a in range(0, len(flat) if profiles.languages else 0, 4000):
+                best[a : a + 4000], near[a : a + 4000], d[a : a + 4000] = profiles.nearest(flat[a : a + 4000])
             rows, at = [], 0
             for lines in split:
-                own, conf = langs[at : at + len(lines)].tolist(), sure[at : at + len(lines)].tolist()
+                own = at_line[at : at + len(lines)]
                 at += len(lines)
-                votes = Counter(x for x in own if x is not None)
-                letters = Counter()
-                for x, line in zip(own, lines):
-                    letters[x] += len(line)
-                main = min(votes, key=lambda x: (-votes[x], -letters[x], x)) if votes else None
-                share = float(np.mean([c for x, c in zip(own, conf) if x == main])) * votes[main] / sum(votes.values()) if votes else None
-                rows.append((main, share, own, [c if x is not None else None for x, c in zip(own, conf)]))
+                votes = best[own].tolist()
+                main = _main(votes, [len(x) for x in lines])
+                # A line that is almost as near to the main language has no language of its own to tell.
+                votes = [main if v >= 0 and v != main and near[i, main] > 1 - margin and d[i, main] - d[i, v] < places else v for v, i in zip(votes, own)]
+                sure = []
+                for v, i in zip(votes, own):
+                    others = np.delete(near[i], v) if v >= 0 else None
+                    sure.append(None if v < 0 else float(np.clip(near[i, v] - (others.max() if len(others) else 0), 0, 1)))
+                mine = [c for v, c in zip(votes, sure) if v == main and v >= 0]
+                share = float(np.mean(mine)) * len(mine) / sum(v >= 0 for v in votes) if mine else None
+                rows.append((names[main], share, [names[v] for v in votes], sure))
             yield pd.DataFrame(rows, columns=["main", "confidence", "langs", "confidences"])
 
     return classify
 
 
-def line_languages(text: Column, profiles: Profiles) -> Column:
+def line_languages(text: Column, profiles: Profiles, margin: float = MARGIN, places: float = PLACES) -> Column:
     """struct(main, confidence, langs, confidences): the main language of a text and the language of each of its lines.
 
-    The main language is that of most lines, of more characters among equals. Lines without letters, or of only links, have
+    The main language is that of most lines, of more characters among equals; a line whose distance to it is within the
+    share `margin` and the sum `places` of its least distance is of the main language too. Lines without letters, or of only links, have
     none; a null or empty text has none.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _classify_lines(profiles)(batches)
+        return _classify_lines(profiles, margin, places)(batches)
 
     return F.pandas_udf(run, _LINES)(text)
 
