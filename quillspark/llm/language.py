@@ -223,9 +223,15 @@ def with_languages(docs: DataFrame, text: str, profiles: Profiles, out: str = "l
 def found_labels(shows: DataFrame, raw_shows: DataFrame, episodes: DataFrame, documents: DataFrame) -> DataFrame:
     """p4_found. The profiles are fitted on labelled documents."""
     profiles = fit_profiles(documents, "text", "lang")
-    own = F.regexp_replace(F.concat_ws("\n", F.col("description"), F.when(F.coalesce(F.length(F.trim("description")), F.lit(0)) == 0, F.col("title"))), r"\s*\n\s*", " ")
+    # A show's own text: its description, where that is missing the one that its feed (or its entry) has, and only then a title.
+    texts = shows.select("show_id", "title", "description", F.lit(0).alias("n")).unionByName(raw_shows.select("show_id", "title", "description", F.lit(1).alias("n")))
+    has = lambda c: F.length(F.trim(F.col(c))) > 0
+    own = texts.where(F.col("show_id").isNotNull()).groupBy("show_id").agg(
+        *(F.min_by(F.when(has(c), F.col(c)), F.when(has(c), F.struct("n", c))).alias(c) for c in ("title", "description"))
+    ).select("show_id", F.regexp_replace(F.coalesce("description", "title"), r"\s*\n\s*", " ").alias("other"))
+    mine = F.regexp_replace(F.when(has("description"), F.col("description")), r"\s*\n\s*", " ")
     tables = [
-        df.select(F.lit(tab).alias("tab"), F.col("show_id").alias("rec_id"), F.col(label).alias("label"), own.alias("text"))
+        df.join(own, "show_id").select(F.lit(tab).alias("tab"), F.col("show_id").alias("rec_id"), F.col(label).alias("label"), F.coalesce(mine, F.col("other")).alias("text"))
         for tab, df, label in (("shows", shows, "language_detected"), ("raw_shows", raw_shows, "language"))
     ]
     rows = episodes.where(F.col("description").isNotNull()).select(F.lit("episodes").alias("tab"), F.col("episode_id").alias("rec_id"), F.col("language").alias("label"), F.col("description").alias("text"))
