@@ -9,6 +9,7 @@ A token is a run of letters of fixed length, so case, spacing, punctuation, digi
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,32 +56,62 @@ def _tokens(key: str) -> list[str]:
     return [key[i : i + TOKEN] for i in range(0, len(key), TOKEN)]
 
 
-def _absorb(templates: list[list[str]], tokens: list[str]) -> int:
-    """Index of the template that takes these tokens, with slots where they differ; a new one if none is similar enough."""
-    best, share = -1, 0.0
-    for i, t in enumerate(templates):
-        same = sum(a == b or a == WILDCARD or b == WILDCARD for a, b in zip(t, tokens)) / len(t)
-        if same > share:
-            best, share = i, same
-    if best < 0 or share < SIMILAR:
-        templates.append(list(tokens))
-        return len(templates) - 1
-    templates[best] = [a if a == b else WILDCARD for a, b in zip(templates[best], tokens)]
-    return best
+class Leaf:
+    """Templates of lines with one number of tokens. An index of tokens by place finds the similar ones without reading all."""
+
+    def __init__(self):
+        self.templates: list[list[str]] = []
+        self._at: dict[tuple[int, str], set[int]] = {}
+        self._slots: list[int] = []
+        self._loose: set[int] = set()  # templates of which half or more is slots: similar to any line
+
+    def absorb(self, tokens: list[str]) -> int:
+        """Index of the template that takes these tokens, with slots where they differ; a new one if none is similar enough."""
+        same = Counter(i for place in enumerate(tokens) for i in self._at.get(place, ()))
+        for i in self._loose:
+            same[i] += 0
+        for i in same:
+            same[i] += self._slots[i]
+        best = min(same, key=lambda i: (-same[i], i)) if same else -1
+        if best < 0 or same[best] < SIMILAR * len(tokens):
+            best = len(self.templates)
+            self.templates.append(list(tokens))
+            self._slots.append(0)
+            for place in enumerate(tokens):
+                self._at.setdefault(place, set()).add(best)
+            return best
+        template = self.templates[best]
+        for k, (old, new) in enumerate(zip(template, tokens)):
+            if old != new and old != WILDCARD:
+                self._at[k, old].discard(best)
+                template[k] = WILDCARD
+                self._slots[best] += 1
+        if self._slots[best] >= SIMILAR * len(template):
+            self._loose.add(best)
+        return best
+
+    def merge(self, template: list[str]) -> int:
+        """Take a template of another tree; its slots stay slots."""
+        best = self.absorb(template)
+        mine = self.templates[best]
+        self._slots[best] = sum(t == WILDCARD for t in mine)
+        if self._slots[best] >= SIMILAR * len(mine):
+            self._loose.add(best)
+        return best
 
 
 def _local_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A tree for the lines of one partition; each line leaves with the template it came to."""
-    tree: dict[tuple, tuple[int, list[list[str]]]] = {}
+    tree: dict[tuple, Leaf] = {}
     frames = []
     for b in batches:
         at = []
         for source, leaf, key in zip(b.source, b.leaf, b.key):
-            templates = tree.setdefault((source, leaf, -(-len(key) // TOKEN)), [])
-            at.append(((source, leaf, -(-len(key) // TOKEN)), _absorb(templates, _tokens(key))))
+            path = (source, leaf, -(-len(key) // TOKEN))
+            at.append((path, tree.setdefault(path, Leaf()).absorb(_tokens(key))))
         frames.append((b, at))
     for b, at in frames:
-        yield b.assign(template=[" ".join(tree[path][i]) for path, i in at])
+        yield b.assign(template=[" ".join(tree[path].templates[i]) for path, i in at])
 
 
 def _merge_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,9 +122,9 @@ def _merge_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             leaves.setdefault((source, leaf), []).append((template, docs))
     rows = []
     for (source, leaf), found in leaves.items():
-        merged: list[list[str]] = []
-        at = [(t, n, _absorb(merged, t.split(" "))) for t, n in sorted(found)]
-        rows += [(source, leaf, t, n, " ".join(merged[i])) for t, n, i in at]
+        merged: dict[int, Leaf] = {}
+        at = [(t, n, len(t.split(" ")), merged.setdefault(len(t.split(" ")), Leaf()).merge(t.split(" "))) for t, n in sorted(found)]
+        rows += [(source, leaf, t, n, " ".join(merged[size].templates[i])) for t, n, size, i in at]
     yield pd.DataFrame(rows, columns=["source", "leaf", "template", "docs", "merged"])
 
 

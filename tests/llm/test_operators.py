@@ -100,9 +100,20 @@ def test_bounds_of_repetition(spark):
 
 
 def test_templates_have_slots():
-    t = [standing_lines._tokens("produc" + x + "withhe") for x in ("edbyan", "edbybo")]
-    templates = []
-    assert [standing_lines._absorb(templates, x) for x in t] == [0, 0] and templates == [["produc", "*", "withhe"]]
+    leaf = standing_lines.Leaf()
+    t = [standing_lines._tokens("produc" + x + "withhe") for x in ("edbyan", "edbybo", "zzzzzz")]
+    assert [leaf.absorb(x) for x in t] == [0, 0, 0] and leaf.templates == [["produc", "*", "withhe"]]
+    assert leaf.absorb(["other1", "other2", "other3"]) == 1
+    other = standing_lines.Leaf()
+    assert [other.merge(x) for x in ([*t[0]], ["produc", "*", "withhe"], ["produc", "*", "*"])] == [0, 0, 0]
+    assert other.templates == [["produc", "*", "*"]] and other.absorb(["a", "b", "c"]) == 0
+
+
+def test_many_unlike_lines_in_one_leaf():
+    rng, leaf = random.Random(0), standing_lines.Leaf()
+    lines = [["same", *(str(rng.randint(0, 10**6)) for _ in range(9))] for _ in range(3000)]
+    at = [leaf.absorb(x) for x in lines]
+    assert len(leaf.templates) == 3000 and [leaf.absorb(x) for x in lines[:50]] == at[:50]
 
 
 # language labels
