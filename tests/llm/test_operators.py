@@ -57,6 +57,14 @@ def test_neighbours_copies_and_bad_rows(spark):
     assert (got.groupby("vec_id").size() <= 10).all() and not got.duplicated(["vec_id", "neighbor"]).any()
 
 
+def test_neighbours_without_clusters(spark):
+    x = np.random.default_rng(2).normal(size=(800, 32))
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, value_bits=0).toPandas()
+    assert got.vec_id.nunique() > 780
+    want = exact(x.astype("f4"), 5)
+    assert np.mean([len(set(g.neighbor) & set(want[i])) / 5 for i, g in got.groupby("vec_id")]) > 0.2
+
+
 def test_neighbours_of_nothing(spark):
     empty = spark.createDataFrame([], VEC)
     assert neighbors.nearest_neighbors(empty, "vec_id", "embedding", 32).count() == 0
