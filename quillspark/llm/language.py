@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -161,42 +160,42 @@ def tag_language(tag: Column) -> Column:
 _LINES = "main string, confidence double, langs array<string>, confidences array<double>"
 
 
-def _main(votes: list[int], lengths: list[int]) -> int:
-    """The language of most lines, of more characters among equals; -1 without any."""
-    count, size = Counter(v for v in votes if v >= 0), Counter()
-    for v, n in zip(votes, lengths):
-        size[v] += n
-    return min(count, key=lambda v: (-count[v], -size[v], v)) if count else -1
-
-
 def _classify_lines(profiles: Profiles, margin: float, places: float):
-    names = [*profiles.languages, None]
+    names = np.array([*profiles.languages, None], object)
+    n = max(1, len(profiles.languages))
 
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             split = [[] if t is None else t.split("\n") for t in texts]
             seen: dict[str, int] = {}  # a standing line is classified once a batch
-            at_line = np.array([seen.setdefault(x, len(seen)) for lines in split for x in lines], "i8")
+            line = np.array([seen.setdefault(x, len(seen)) for lines in split for x in lines], "i8")
             flat = list(seen)
-            best, near, d = np.full(len(flat), -1), *(np.ones((len(flat), max(1, len(profiles.languages))), "f4") for _ in range(2))
+            best, near, d = np.full(len(flat), -1), *(np.ones((len(flat), n), "f4") for _ in range(2))
             for a in range(0, len(flat) if profiles.languages else 0, 4000):
                 best[a : a + 4000], near[a : a + 4000], d[a : a + 4000] = profiles.nearest(flat[a : a + 4000])
-            rows, at = [], 0
-            for lines in split:
-                own = at_line[at : at + len(lines)]
-                at += len(lines)
-                votes = best[own].tolist()
-                main = _main(votes, [len(x) for x in lines])
-                # A line that is almost as near to the main language has no language of its own to tell.
-                votes = [main if v >= 0 and v != main and near[i, main] > 1 - margin and d[i, main] - d[i, v] < places else v for v, i in zip(votes, own)]
-                sure = []
-                for v, i in zip(votes, own):
-                    others = np.delete(near[i], v) if v >= 0 else None
-                    sure.append(None if v < 0 else float(np.clip(near[i, v] - (others.max() if len(others) else 0), 0, 1)))
-                mine = [c for v, c in zip(votes, sure) if v == main and v >= 0]
-                share = float(np.mean(mine)) * len(mine) / sum(v >= 0 for v in votes) if mine else None
-                rows.append((names[main], share, [names[v] for v in votes], sure))
-            yield pd.DataFrame(rows, columns=["main", "confidence", "langs", "confidences"])
+            sizes = np.array([len(x) for x in flat], "i8")[line] if flat else np.zeros(0, "i8")
+            ends = np.cumsum([len(lines) for lines in split])
+            doc = np.repeat(np.arange(len(split)), [len(lines) for lines in split])
+            v = best[line]
+            told = v >= 0
+            # The language of most lines, of more characters among equals, then the first by name.
+            cell = (doc * n + v)[told]
+            votes = np.bincount(cell, minlength=len(split) * n) * 2.0**32 + np.bincount(cell, sizes[told], len(split) * n)
+            votes = votes.reshape(len(split), n)
+            main = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), -1)
+            # A line that is almost as near to the main language has no language of its own to tell.
+            m, at = main[doc], np.arange(len(line))
+            close = told & (v != m) & (near[line, m] > 1 - margin) & (d[line, m] - d[line, v] < places)
+            v = np.where(close, m, v)
+            own = near[line]
+            chosen = own[at, v]
+            own[at, v] = 0
+            sure = np.clip(chosen - own.max(axis=1), 0, 1) if n > 1 else chosen
+            agree = told & (v == m)
+            share = np.bincount(doc, sure * agree, len(split)) / np.maximum(np.bincount(doc, told, len(split)), 1)
+            langs, confidences = names[v], np.where(told, sure.astype("f8"), None)
+            cut = lambda x: [part.tolist() for part in np.split(x, ends[:-1])] if len(split) else []
+            yield pd.DataFrame({"main": names[main], "confidence": np.where(main >= 0, share, None), "langs": cut(langs), "confidences": cut(confidences)}).astype({"confidence": "float64"})
 
     return classify
 
