@@ -133,3 +133,23 @@ def boilerplate_similarity(texts: DataFrame, key: str, text: str, corpus: DataFr
     same = pairs.groupBy(key, "bid").agg(F.count("*").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     best = same.groupBy(key).agg(F.max(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
     return texts.select(key).distinct().join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def cleaned_documents(judged: DataFrame, titles: DataFrame, pipeline: str = "clean-v1", rules: str = "rules-v1") -> DataFrame:
+    """Nested documents of judged paragraphs: normalised texts, all paragraphs with flags and rules, counts, versions.
+
+    `titles` is (episode_id, title). A paragraph without a flag is content. An episode without paragraphs has an empty list.
+    """
+    p = F.struct(
+        F.col("n").alias("index"), F.col("paragraph").alias("text"), F.length("paragraph").alias("char_count"),
+        F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("content"))).alias("flags"), F.col("kept").alias("kept"), F.col("rules").alias("rules_hit"),
+    )
+    lists = judged.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.when(F.col("paragraph").isNotNull(), p))).alias("paragraphs"))
+    number = lambda c: F.col(c).cast("int")
+    stats = F.struct(
+        number("raw_chars").alias("raw_char_count"), number("kept_chars").alias("kept_char_count"), number("paragraphs_n").alias("total_paragraphs"), number("kept_paragraphs").alias("kept_paragraphs"),
+        number("removed_paragraphs").alias("removed_paragraphs"), "removal_breakdown",
+    )
+    counts = clean_episodes(judged).select("episode_id", F.col("paragraphs").alias("paragraphs_n"), "raw_chars", "kept_chars", "kept_paragraphs", "removed_paragraphs", "removal_breakdown", "show_id", "description")
+    rows = counts.join(lists, "episode_id").join(titles.select("episode_id", "title").dropDuplicates(["episode_id"]), "episode_id", "left")
+    return rows.select("episode_id", "show_id", F.struct(F.struct(TX.normalize(F.col("title")).alias("title"), "description").alias("normalized"), "paragraphs", stats.alias("stats")).alias("cleaned"), F.struct(F.lit(pipeline).alias("pipeline_version"), F.lit(rules).alias("rules_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("cleaned_at")).alias("cleaning_meta"))

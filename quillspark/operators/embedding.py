@@ -85,3 +85,38 @@ def rebuild_shows(inputs: DataFrame, factory: Callable[[], Backend], identity: d
     vectors = rows.select("episode_id", "show_id", F.lit(identity["model"]).alias("model_name"), F.lit(identity["version"]).alias("embedding_version"), F.lit(identity["dims"]).alias("embedding_dimensions"), "embedding")
     usable = F.count_if(X.blank_to_null(F.col("text")).isNotNull())
     return vectors, inputs.groupBy("show_id").agg(usable.alias("episodes"), F.when(usable > 0, "ok").otherwise("zero_episodes").alias("status"))
+
+
+def http_backend(url: str, attempts: int = 3, timeout: float = 30.0, pause: float = 0.5) -> Backend:
+    """A service that answers {"input": [texts]} with {"data": [{"index", "embedding"}]}. A single text is tried again after a
+    failure of the server, a batch never is; refusals and timeouts end the run."""
+    import json
+    import time
+    import urllib.error
+    import urllib.request
+
+    def embed(texts: list[str]) -> np.ndarray:
+        request = urllib.request.Request(url, json.dumps({"input": texts}).encode(), {"Content-Type": "application/json"})
+        tries = attempts if len(texts) == 1 else 1
+        for n in range(tries):
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    data = json.load(answer)["data"]
+                return np.array([d["embedding"] for d in sorted(data, key=lambda d: d["index"])], "f4")
+            except urllib.error.HTTPError as e:
+                if e.code < 500 or n == tries - 1:
+                    raise
+            except TimeoutError:
+                raise
+            except urllib.error.URLError:
+                if n == tries - 1:
+                    raise
+            time.sleep(pause * 2**n)
+        raise RuntimeError("no answer")
+
+    return embed
+
+
+def chunks(inputs: DataFrame) -> DataFrame:
+    """(episode_id, chunk_index, text): one chunk an episode; rows without an id or a text are dropped."""
+    return inputs.where(F.col("episode_id").isNotNull() & X.blank_to_null(F.col("text")).isNotNull()).select("episode_id", F.lit(0).alias("chunk_index"), "text")

@@ -223,3 +223,27 @@ def deltas(current: DataFrame, previous: DataFrame, keys: list[str], value: str,
     drop = both.where(F.col("delta") < 0).orderBy("delta", *keys).limit(n).withColumn("kind", F.lit("drop"))
     gain = both.where(F.col("delta") > 0).orderBy(F.desc("delta"), *keys).limit(n).withColumn("kind", F.lit("gain"))
     return drop.unionByName(gain)
+
+
+def measure_latency(run, queries: list[tuple[str, str, str]], runs: int = 10) -> list[tuple[str, str, float]]:
+    """(language, mode, milliseconds) of `run(query, language, mode)` for each (query, language, mode), after one warm-up."""
+    import time
+
+    if queries:
+        run(*queries[0])
+    out = []
+    for query, language, mode in queries:
+        for _ in range(runs):
+            began = time.perf_counter()
+            run(query, language, mode)
+            out.append((language, mode, (time.perf_counter() - began) * 1000))
+    return out
+
+
+def online_report(success: float, same_language: float, first_rank: float | None, reformulation: float) -> list[tuple[str, float | None, str]]:
+    """Rows of the online table: measure, value, status. The mean first rank has no gate."""
+    up = lambda v, g: "PASS" if v >= ONLINE_GATES[g] else "FAIL"
+    return [
+        ("search_success_rate", success, up(success, "success")), ("same_language_click_rate", same_language, up(same_language, "same_language")),
+        ("mean_first_click_rank", first_rank, "N/A"), ("reformulation_rate", reformulation, "PASS" if reformulation <= ONLINE_GATES["reformulation"] else "FAIL"),
+    ]

@@ -162,3 +162,10 @@ def show_documents(shows: DataFrame) -> DataFrame:
         "show_id", "title", F.col("author").alias("publisher"), "description", provider.alias("provider"), F.create_map(provider, F.col("external_id")).alias("external_ids"),
         F.create_map(link, F.try_element_at("external_urls", link)).alias("external_urls"), "categories", F.col("image")["url"].alias("image_url"), F.col("language_detected").alias("language"), "episode_count", F.lit(None).cast("double").alias("popularity_score"),
     )
+
+
+def sample_ids(classified: DataFrame, most: int = 10) -> DataFrame:
+    """(category, ids): the first ids of each category in their order; the limit runs before the shuffle."""
+    w = Window.partitionBy("category").orderBy("episode_id")
+    few = classified.select("category", "episode_id", F.row_number().over(w).alias("r")).where(F.col("r") <= most)
+    return few.groupBy("category").agg(F.array_sort(F.collect_list("episode_id")).alias("ids"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +103,11 @@ def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 1)
         own.close()
 
     return ranges.mapInPandas(scan, fields)
+
+
+def latest_report(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The report `name` of the newest dated folder (yyyy-mm-dd) under `root`; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    dated = sorted(str(f.getPath()) for f in found if re.fullmatch(r"\d{4}-\d{2}-\d{2}", f.getPath().getParent().getName()))
+    return spark.read.option("multiLine", True).json(dated[-1]) if dated else None

@@ -10,10 +10,11 @@ DATA = Path(os.environ.get("QUILLSPARK_DATA", "/root/testdata"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from quillspark.session import local_session
+    from quillspark.session import local_session, ship
 
     s = local_session("4", 4)
     s.sparkContext.setLogLevel("OFF")
+    ship(s)
     yield s
     s.stop()
 

@@ -170,3 +170,59 @@ def test_document_rejections(spark):
     shows = spark.createDataFrame([("s", "S", "A", "podcast-episodes-en"), ("t", "T", "A", None)], "show_id string, title string, author string, target_index string")
     got = {r.episode_id: (r.alias, r.reject_reason, r.duration_sec) for r in state.episode_documents(inputs, cleaned, shows).collect()}
     assert got == {"e1": ("episodes-en", None, 60), "e2": ("episodes-en", "no_cleaned_episode", None), "e3": (None, "unknown_target", 60)}
+
+
+def test_nested_documents(spark):
+    eps = spark.createDataFrame([("e1", "s", "own words are here\n\nUse code SAVE20 for 20% off"), ("e2", "s", None)], "episode_id string, show_id string, description string")
+    from quillspark.operators import cleaning
+
+    judged = cleaning.judged_paragraphs(cleaning.paragraph_table(eps, F.col("description")))
+    docs = {r.episode_id: r.cleaned for r in cleaning.cleaned_documents(judged, eps.withColumn("title", F.lit("Ｔ"))).collect()}
+    one = docs["e1"]
+    assert one.normalized.title == "T" and one.normalized.description == "own words are here"
+    assert [(p["index"], p.kept, p.flags) for p in one.paragraphs] == [(0, True, ["content"]), (1, False, ["sponsor"])]
+    assert (one.stats.total_paragraphs, one.stats.removed_paragraphs, one.stats.removal_breakdown) == (2, 1, {"sponsor": 1})
+    assert docs["e2"].paragraphs == [] and docs["e2"].stats.total_paragraphs == 0
+
+
+def test_small_helpers(spark, tmp_path):
+    from quillspark.operators import evaluation
+
+    for day in ("2024-01-01", "2024-02-01", "other"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "r.json").write_text(json.dumps({"day": day}))
+    assert tables.latest_report(spark, str(tmp_path), "r.json").first().day == "2024-02-01"
+    assert tables.latest_report(spark, str(tmp_path), "none.json") is None
+    rows = spark.createDataFrame([("a", f"e{i}") for i in range(20)] + [("b", "x")], "category string, episode_id string")
+    assert {r.category: len(r.ids) for r in state.sample_ids(rows).collect()} == {"a": 10, "b": 1}
+    assert len(evaluation.measure_latency(lambda *_: None, [("q", "en", "bm25")], 3)) == 3
+    assert [s for _, _, s in evaluation.online_report(0.6, 0.7, None, 0.2)] == ["PASS", "FAIL", "N/A", "PASS"]
+    c = U.chunks(spark.createDataFrame([("a", "x"), (None, "y"), ("b", " ")], "episode_id string, text string"))
+    assert [tuple(r) for r in c.collect()] == [("a", 0, "x")]
+
+
+def test_http_backend():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    fails = [1]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            if fails and fails.pop():
+                self.send_error(503)
+                return
+            body = json.dumps({"data": [{"index": i, "embedding": [len(t), 1.0]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    backend = U.http_backend(f"http://127.0.0.1:{server.server_port}/", pause=0.01)
+    assert backend(["abc"]).tolist() == [[3.0, 1.0]] and backend(["a", "bb"]).tolist() == [[1.0, 1.0], [2.0, 1.0]]
+    server.shutdown()
