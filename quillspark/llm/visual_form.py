@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import free_name
+from ..session import cut_lineage, free_name
 
 # Characters of other scripts that look like a Latin letter or a basic sign, by what they look like.
 LOOKALIKES = {
@@ -120,7 +120,8 @@ def lookalike_pairs(df: DataFrame, group: list[str], key: str, text: str) -> Dat
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     for g in group:
         rows = rows.where(F.col(g).isNotNull())
-    rows = rows.select(*group, F.col(key).alias("_key"), _digest(F.col(text)).alias("_raw"), _digest(canonical_form(F.col(text))).alias("_form"))
+    # Digests of every row, normalised once and read three times.
+    rows = cut_lineage(rows.select(*group, F.col(key).alias("_key"), _digest(F.col(text)).alias("_raw"), _digest(canonical_form(F.col(text))).alias("_form")))
     mixed = rows.groupBy(*group, "_form").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where(F.col("_lo") < F.col("_hi")).select(*group, "_form")
     rows = rows.join(mixed, [*group, "_form"], "left_semi").distinct()
     other = rows.select(*group, "_form", F.col("_key").alias("_key_b"), F.col("_raw").alias("_raw_b"))
