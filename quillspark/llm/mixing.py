@@ -65,15 +65,19 @@ def mix_sources(docs: DataFrame, targets: DataFrame, size: Column | None = None,
 
 
 def mix_report(docs: DataFrame, targets: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 42) -> DataFrame:
-    """(source, target_share, max_repeats, size, budget, epochs, mixed_tokens, actual_share, short): a row for each listed source."""
+    """(source, target_share, max_repeats, size, budget, epochs, mixed_tokens, actual_share, short): a row for each listed source.
+
+    A source is short if what the mix took of it is below its budget though all its repeats are used up.
+    """
     size = byte_tokens(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
     _, plan = _sized(docs, targets, size, weight)
     mixed = mix_sources(docs, targets, size, weight, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
     out = plan.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    short = (F.col("mixed_tokens") >= F.col("max_repeats") * F.col("size")) & (F.col("mixed_tokens") < F.col("budget"))
     total = out.agg(F.sum("mixed_tokens").alias("all_mixed"))
     return out.join(F.broadcast(total)).select(
-        "source", "target_share", "max_repeats", "size", "budget", "epochs", "mixed_tokens", (F.col("mixed_tokens") / F.nullif(F.col("all_mixed"), F.lit(0))).alias("actual_share"), (F.col("budget") > F.col("max_repeats") * F.col("size")).alias("short")
+        "source", "target_share", "max_repeats", "size", "budget", "epochs", "mixed_tokens", (F.col("mixed_tokens") / F.nullif(F.col("all_mixed"), F.lit(0))).alias("actual_share"), short.alias("short")
     )
 
 

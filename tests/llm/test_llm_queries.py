@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import queries as Q
 
@@ -34,6 +35,23 @@ def test_neighbours_against_brute_force(spark, small):
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
 
 
+@pytest.mark.parametrize("name", ["p7_found", "p7_plan", "p7_mix"])
+def test_the_mix_is_made(spark, small, name):
+    plan = Q.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "LN(" in plan.upper().replace("LOG(", "LN(")
+
+
+def test_what_the_mix_took(spark, small):
+    plan = {r.source: r for r in Q.queries()["p7_plan"](spark, small).collect()}
+    mix = {r.source: r for r in Q.queries()["p7_mix"](spark, small).collect()}
+    repeats = {r.source: r.max_repeats for r in spark.read.parquet(f"{small}/mix_targets.parquet").collect()}
+    longest = spark.read.parquet(f"{small}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0] + 1
+    assert set(plan) == set(mix) and sum(r.actual_share for r in mix.values()) == pytest.approx(1)
+    for s, r in mix.items():
+        assert abs(r.mixed_tokens - min(r.budget, repeats[s] * plan[s].size)) <= longest
+        assert plan[s].short == (r.budget > repeats[s] * plan[s].size)
+
+
 def test_prose_verdicts_against_labels(spark, small):
     labels = spark.read.parquet(f"{small}/doc_labels.parquet").toPandas()
     found = {r.doc_id for r in Q.queries()["p8_found"](spark, small).collect()}
