@@ -45,6 +45,25 @@ def test_neighbours_when_buckets_and_groups_are_split(spark):
     assert got.vec_id.nunique() == 1200 and got.groupby("vec_id").size().min() >= 1
 
 
+def test_neighbours_in_a_topic_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x, n = clustered(1500, clusters=60, seed=3), 500
+    x[:n] = rng.normal(size=32) * 3 + rng.normal(size=(n, 32))
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, value_bits=0, bucket_rows=32, group_rows=32).toPandas()
+    want = exact(x.astype("f4"), 5)
+    hits = [len(set(g.neighbor) & set(want[i])) / 5 for i, g in got.groupby("vec_id") if i < n]
+    assert sum(hits) / n > 0.98
+    assert got.groupby("vec_id").size().max() <= 5 and not got.duplicated(["vec_id", "neighbor"]).any()
+
+
+def test_blocks_let_all_pieces_meet():
+    label, piece, pieces = np.full(9, 7), np.array([0, 0, 1, 2, 3, 3, 0, 1, 2]), np.array([4] * 6 + [1] * 3)
+    piece[6:] = 0
+    gids, at = neighbors._blocks(label, piece, pieces)
+    groups = [set(at[gids == g]) for g in np.unique(gids)]
+    assert all(any({a, b} <= g for g in groups) for a in range(6) for b in range(6)) and {6, 7, 8} in groups
+
+
 def test_neighbours_copies_and_bad_rows(spark):
     x = clustered(300)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(150)] + [(5, x[5].tolist())]
