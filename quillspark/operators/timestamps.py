@@ -8,10 +8,12 @@ converted as NumPy columns. Local times go through per-zone transition tables th
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 import unicodedata
 import zoneinfo
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import lru_cache
 from pathlib import Path
 
@@ -291,6 +293,32 @@ def utc_seconds(value: Column, zone: Column | None = None, default_zone: str = "
     return udf(value.cast("string"), (F.lit(None) if zone is None else zone).cast("string"))
 
 
+_FRACTION = re.compile(r"(?::\d{2}|^\d{8}[Tt]\d{6})[.,](\d{1,12})")
+
+
+def _micros(text: str, second: int) -> int:
+    """Microseconds of a written timestamp whose whole UTC second is known; what is finer is cut off."""
+    text = unicodedata.normalize("NFKC", text.strip()).strip()
+    if m := re.fullmatch(r"(-?\d+)(?:\.(\d+))?", text):
+        power = next((p for bound, p in ((10**11, 0), (10**14, 3), (10**17, 6)) if abs(int(m[1])) < bound), 9)
+        return math.floor(Fraction(text) * 10**6 / 10**power)
+    m = _FRACTION.search(text)
+    return second * 1_000_000 + (int(m[1].ljust(6, "0")[:6]) if m else 0)
+
+
+def utc_micros(value: Column) -> Column:
+    """Column expression: UTC microseconds of a written timestamp, null unless its status is ok; without a zone it is UTC."""
+    version = zone_data_version()
+
+    def convert(values: pd.Series) -> pd.Series:
+        if zone_data_version() != version:
+            raise RuntimeError(f"zone data {zone_data_version()} on this executor, {version} on the driver")
+        seconds, status = parse_batch(values)
+        return pd.Series([_micros(v, int(x)) if ok == OK else None for v, x, ok in zip(values, seconds, status)], dtype="Int64")
+
+    return F.pandas_udf(convert, T.LongType())(value.cast("string"))
+
+
 def normalize_timestamps(df: DataFrame, value: str, zone: str | None = None, default_zone: str = "UTC") -> DataFrame:
     """Add `utc_sec` (BIGINT), `utc_ts` (TIMESTAMP) and `utc_status` for the written timestamps of column `value`.
 

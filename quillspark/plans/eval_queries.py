@@ -13,7 +13,7 @@ from ..functions import text as TX
 from ..operators import cleaning as C
 from ..operators import evaluation as E
 from ..operators import search as R
-from ..operators.timestamps import utc_seconds
+from ..operators.timestamps import utc_micros, utc_seconds
 from ..session import table as t
 from . import cleaning_queries as CQ
 from . import search_queries as S
@@ -147,8 +147,7 @@ def incremental_annotation(s, d):
 def clicks(s, d):
     """Clicks with their time in microseconds, a click once, whatever the form in which its time was written."""
     c = t(s, d, "click_log").dropDuplicates(["request_id", "clicked_rank"])
-    iso = X.iso_micros(F.when(F.regexp_like("timestamp", F.lit(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?([+-]\d{2}:\d{2}|Z)$")), F.col("timestamp")))
-    return c.withColumn("c_micros", iso)
+    return c.withColumn("c_micros", utc_micros(F.col("timestamp")))
 
 
 def search_success_rate(s, d):
