@@ -27,7 +27,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: mixing.found_short(_t(s, d, "documents"), _t(s, d, "mix_targets")),
         "p7_plan": lambda s, d: mixing.mix_report(_t(s, d, "documents"), _t(s, d, "mix_targets")).select("source", "size", "epochs", "short"),
         "p7_mix": lambda s, d: mixing.mix_report(_t(s, d, "documents"), _t(s, d, "mix_targets")).select("source", "budget", "mixed_tokens", "actual_share"),
-        "p8_found": lambda s, d: quality.found_not_prose(_t(s, d, "documents")),
+        "p8_found": lambda s, d: quality.found_not_prose(_t(s, d, "documents"), _t(s, d, "doc_labels")),
     }
 
 
