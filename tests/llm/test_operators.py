@@ -105,13 +105,23 @@ def shows(spark, texts, source="s"):
     return spark.createDataFrame([(source, f"e{i}", t) for i, t in enumerate(texts)], "source string, doc string, text string")
 
 
+def places(df):
+    return df.withColumn("places", F.lit(None).cast("array<bigint>"))
+
+
 def test_standing_lines(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
-    texts = [f"Own line about {w}\n<p>Follow US at no. {i}!</p>\n\n12:30" for i, w in enumerate(words)] + ["Fo llow u s at NO", None, ""]
-    got = {(r.doc, r.line_no) for r in standing_lines.find_standing_lines(shows(spark, texts), "source", "doc", "text").collect()}
-    assert got == {(f"e{i}", 1) for i in range(10)} | {("e10", 0)}
-    clean = {r.doc: r.cleaned_text for r in standing_lines.remove_standing_lines(shows(spark, texts), "source", "doc", "text").collect()}
-    assert clean["e0"] == "Own line about alpha\n\n12:30" and clean["e11"] is None and clean["e12"] == ""
+    line = "Follow US at no."
+    texts = [f"Own line about {w}\n<p>{line} {i}!</p>\n\n12:30" for i, w in enumerate(words)] + ["Fo llow u s at NO", None, ""]
+    want = {(f"e{i}", 1) for i in range(10)} | {("e10", 0)}
+    df = shows(spark, texts)
+    assert {(r.doc, r.line_no) for r in standing_lines.find_repeated_lines(places(df).dropna(subset=["text"])).collect()} == want
+    # The own lines differ in one word only, so one template covers them.
+    got = {(r.doc, r.line_no): r.template for r in standing_lines.find_standing_lines(df, "source", "doc", "text").collect()}
+    assert set(got) >= want and got["e4", 0] == "own line about *"
+    own = shows(spark, [f"{w} {w}s {w}t\n<p>{line} {i}!</p>\n\n12:30" for i, w in enumerate(words)] + [None, ""])
+    clean = {r.doc: r.cleaned_text for r in standing_lines.remove_standing_lines(own, "source", "doc", "text").collect()}
+    assert clean["e0"] == "alpha alphas alphat\n\n12:30" and clean["e10"] is None and clean["e11"] == ""
 
 
 def test_bounds_of_repetition(spark):
@@ -127,20 +137,58 @@ def test_bounds_of_repetition(spark):
 
 
 def test_templates_have_slots():
-    leaf = standing_lines.Leaf()
-    t = [standing_lines._tokens("produc" + x + "withhe") for x in ("edbyan", "edbybo", "zzzzzz")]
-    assert [leaf.absorb(x) for x in t] == [0, 0, 0] and leaf.templates == [["produc", "*", "withhe"]]
-    assert leaf.absorb(["other1", "other2", "other3"]) == 1
-    other = standing_lines.Leaf()
-    assert [other.merge(x) for x in ([*t[0]], ["produc", "*", "withhe"], ["produc", "*", "*"])] == [0, 0, 0]
-    assert other.templates == [["produc", "*", "*"]] and other.absorb(["a", "b", "c"]) == 0
+    tree = standing_lines.Tree()
+    lines = [x.split() for x in ("this show is made by anna in town", "this show is made by bob in town", "this show is made by carol in towns", "this show has nothing to do with it", "this show")]
+    assert [tree.add(x) for x in lines] == [0, 0, 0, 1, 2] and " ".join(tree.templates[0]) == "this show is made by * in *"
+    assert tree.add("this show * * by dora at home".split()) == 3  # fewer than half would stay
+    assert standing_lines.covers(tree.templates[0], lines[1]) and not standing_lines.covers(tree.templates[0], lines[3])
 
 
 def test_many_unlike_lines_in_one_leaf():
-    rng, leaf = random.Random(0), standing_lines.Leaf()
-    lines = [["same", *(str(rng.randint(0, 10**6)) for _ in range(9))] for _ in range(3000)]
-    at = [leaf.absorb(x) for x in lines]
-    assert len(leaf.templates) == 3000 and [leaf.absorb(x) for x in lines[:50]] == at[:50]
+    rng, tree = random.Random(0), standing_lines.Tree()
+    lines = [["same", "head", *(str(rng.randint(0, 10**6)) for _ in range(9))] for _ in range(3000)]
+    at = [tree.add(x) for x in lines]
+    assert len(tree.templates) == 3000 and [tree.add(x) for x in lines[:50]] == at[:50]
+
+
+NAMES = "anna bob carol dora emil fritz gina hugo ida jan".split()
+
+
+def test_lines_with_a_varying_name_are_standing(spark):
+    texts = [f"Own {w} thing number {w}\nThis show is made by {w} in town" for w in NAMES]
+    got = standing_lines.find_standing_lines(shows(spark, texts), "source", "doc", "text").collect()
+    assert {(r.doc, r.line_no, r.template) for r in got} == {(f"e{i}", 1, "this show is made by * in town") for i in range(10)}
+    clean = {r.doc: r.cleaned_text for r in standing_lines.remove_standing_lines(shows(spark, texts), "source", "doc", "text").collect()}
+    assert clean["e3"] == "Own dora thing number dora"
+    rows = places(shows(spark, texts))
+    assert standing_lines.find_repeated_lines(rows).count() == 0  # no two have the same letters
+
+
+def test_trees_decide(spark, monkeypatch):
+    texts = [f"This show is made by {w} in town\nThe same line ends it" for w in NAMES]
+    rows = places(shows(spark, texts))
+    found = lambda: (standing_lines.find_standing_lines(shows(spark, texts), "source", "doc", "text").count(), standing_lines.find_repeated_lines(rows).count())
+    assert found() == (20, 10)
+    monkeypatch.setattr(standing_lines, "covered_lines", lambda r: r.where("kind = 'line'").select("source", "doc", "line_no", "key", F.lit("x").alias("template")).limit(0))
+    assert found() == (0, 0)
+
+
+@pytest.mark.parametrize("bucket_docs", [3, 17, 4096])
+def test_a_hot_source_in_buckets(spark, bucket_docs):
+    rng = random.Random(4)
+    texts = []
+    for i in range(200):
+        lines = ["".join(rng.choice("abcdefgh") for _ in range(6)) + " own words of it " + "".join(rng.choice("abcdefgh") for _ in range(6))]
+        lines += [f"brought to you by our friends at {rng.choice(NAMES)}"] * (i % 3 == 0) + ["Fol low us" if i % 2 else "follow us."] * (i % 4 < 2) + ["rare line here"] * (i % 10 == 0)
+        texts.append("\n".join(lines))
+    df = shows(spark, texts)
+    rows = places(df)
+    exact = {(r.doc, r.line_no) for r in standing_lines.find_repeated_lines(rows, bucket_docs=bucket_docs).collect()}
+    want = {(f"e{i}", no) for i, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if "us" in x and "ow" in x}
+    assert exact == want
+    got = {(r.doc, r.line_no) for r in standing_lines.find_standing_lines(df, "source", "doc", "text", bucket_docs=bucket_docs).collect()}
+    named = {(f"e{i}", no) for i, t in enumerate(texts) for no, x in enumerate(t.split("\n")) if x.startswith("brought")}
+    assert named <= got and not any("rare" in texts[int(d[1:])].split("\n")[n] for d, n in got)
 
 
 # language labels
