@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers with items of varying length.
 
-Best-fit decreasing runs within each partition. Dual-feasible functions give a lower bound of its bin count: a partition
-that reaches its bound is certified. Partitions with a gap release their emptier bins; these documents are exchanged by
-pooling several partitions, and best-fit decreasing runs again over each pool.
+Documents lie in pools, as many as their number asks for, and best-fit decreasing runs within each. Dual-feasible functions
+give a lower bound of a pool's bin count: a pool that reaches its bound is certified. Pools with a gap release their emptier
+bins; these documents are exchanged by joining pools, and best-fit decreasing runs again, until all bins together are within
+a stated share of the bound for all documents.
 """
 
 from __future__ import annotations
@@ -25,26 +26,31 @@ def byte_tokens(text: Column) -> Column:
     return F.when(F.octet_length(text) > 0, F.octet_length(text).cast("long") + F.lit(END_TOKENS))
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+#: Pieces of a pool, pools that one of the next round takes, and the share over the bound at which the exchange ends.
+POOL_ITEMS, JOINED, TOLERANCE = 50_000, 16, 0.001
+
+
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """The largest bound that the dual-feasible functions of the family f_e and u_k give for the number of bins.
 
     f_e: items above capacity - e count as full, those below e as nothing, the rest as themselves. u_k: x (k + 1) / capacity
-    rounded down, by k, unless it is whole.
+    rounded down, by k, unless it is whole. `counts` says how often each size occurs (once if left out).
     """
     if not len(sizes):
         return 0
-    x = np.sort(sizes.astype("i8"))
-    total = np.concatenate([[0], np.cumsum(x)])
-    half = np.unique(x[x <= capacity // 2])
-    e = np.concatenate([[0], half])
+    order = np.argsort(sizes, kind="stable")
+    x = sizes[order].astype("i8")
+    n = np.ones(len(x), "i8") if counts is None else counts[order].astype("i8")
+    total, number = np.concatenate([[0], np.cumsum(x * n)]), np.concatenate([[0], np.cumsum(n)])
+    e = np.concatenate([[0], np.unique(x[x <= capacity // 2])])
     low, high = np.searchsorted(x, e, "left"), np.searchsorted(x, capacity - e, "right")
-    best = int(np.max((len(x) - high) * capacity + total[high] - total[np.minimum(low, high)]))
+    best = int(np.max((number[-1] - number[high]) * capacity + total[high] - total[np.minimum(low, high)]))
     bound = -(-best // capacity)
     for k in range(1, 16):
         scaled = x * (k + 1)
         whole = scaled % capacity == 0
         u = np.where(whole, x * k, (scaled // capacity) * capacity)  # in units of 1 / (k * capacity)
-        bound = max(bound, -(-int(u.sum()) // (k * capacity)))
+        bound = max(bound, -(-int((u * n).sum()) // (k * capacity)))
     return bound
 
 
@@ -73,7 +79,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, starts
 
 
-_PACKED = "doc_id bigint, part int, tokens bigint, bin_id bigint, bin_start bigint, bins bigint, bound bigint, released boolean"
+_PACKED = "doc_id bigint, part int, tokens bigint, oversized boolean, bin_id bigint, bin_start bigint, released boolean"
 
 
 def _packer(capacity: int, round_no: int, last: bool):
@@ -89,57 +95,74 @@ def _packer(capacity: int, round_no: int, last: bool):
             released = np.zeros(len(part), bool)
             if n > bound and not last:
                 fill = np.bincount(bins, sizes, n)
-                # The emptiest bins go, as many as hold the unused space that the gap stands for, and at least two.
+                # The emptiest bins go, as many as hold four times the unused space that the gap stands for, and at least two.
                 emptiest = np.argsort(fill, kind="stable")
                 space = np.cumsum(capacity - fill[emptiest])
-                released = np.isin(bins, emptiest[: max(2, int(np.searchsorted(space, (n - bound + 1) * capacity)) + 1)])
+                released = np.isin(bins, emptiest[: max(2, int(np.searchsorted(space, 4 * (n - bound + 1) * capacity)) + 1)])
             yield pd.DataFrame(
-                {"doc_id": part.doc_id.to_numpy(), "part": part["part"].to_numpy("i4"), "tokens": sizes, "bin_id": (np.int64(round_no) << 56) + (np.int64(pool) << 32) + bins, "bin_start": starts, "bins": n, "bound": bound, "released": released}
+                {"doc_id": part.doc_id.to_numpy(), "part": part["part"].to_numpy("i4"), "tokens": sizes, "oversized": part.oversized.to_numpy(bool), "bin_id": (np.int64(round_no) << 58) + (np.int64(pool) << 24) + bins, "bin_start": starts, "released": released}
             )
 
     return pack
 
 
-def pack_documents(docs: DataFrame, doc_id: str, size: Column, capacity: int = 4096, rounds: int = 3, pool: int = 16) -> DataFrame:
-    """(doc_id, part, tokens, bin_id, bin_start, oversized): each document in one bin, or split if it exceeds the capacity.
+def _pieces(docs: DataFrame, doc_id: str, size: Column, capacity: int) -> DataFrame:
+    """(doc_id, part, tokens, oversized): the documents, those above the capacity in parts of which only the last has room left."""
+    sized = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), size.cast("long").alias("size")).where((F.col("size") > 0) & F.col("doc_id").isNotNull())
+    sized = sized.groupBy("doc_id").agg(F.max("size").alias("size"))
+    parts = sized.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))).alias("part"))
+    return parts.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("part") * F.lit(capacity)).alias("tokens"), (F.col("size") > capacity).alias("oversized"))
+
+
+def global_bound(pieces: DataFrame, capacity: int) -> tuple[int, int]:
+    """How many pieces there are, and the bound for all of them. The driver sees how often each size occurs, at most `capacity` rows."""
+    sizes = pieces.groupBy("tokens").agg(F.count("*").alias("n")).toPandas()
+    return int(sizes.n.sum()), lower_bound(sizes.tokens.to_numpy("i8"), capacity, sizes.n.to_numpy("i8"))
+
+
+def pack_documents(docs: DataFrame, doc_id: str, size: Column, capacity: int = 4096, pool_items: int = POOL_ITEMS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, part, tokens, oversized, bin_id, bin_start): each document in one bin, or split if it exceeds the capacity.
 
     A document above the capacity fills bins of its own and its rest is an item like others. Documents without a size (null,
     0 or less) or id are in no bin; rows that repeat an id count once (the largest size). Ties in size go by document id.
-    `rounds` are the runs of best-fit decreasing, each over `pool` times fewer pools than the one before. A pool holds only
-    what its partitions released, so a task's input stays near that of the first round.
+    The number of pools follows from the number of pieces, so neither a task's input nor the result depends on the session's
+    settings. Bins are exchanged over ever fewer pools until the bins are at most the share `tolerance` above the bound for
+    all pieces, or one pool is left; a pool holds only what its pools released.
     """
-    sized = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), size.cast("long").alias("size")).where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = sized.groupBy("doc_id").agg(F.max("size").alias("size"))
-    whole = F.floor(F.col("size") / capacity)
-    pieces = sized.select("doc_id", F.col("size"), F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / capacity).cast("int"))).alias("part"), whole.alias("whole"))
-    pieces = pieces.select("doc_id", "part", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("part") * F.lit(capacity)).alias("tokens"), (F.col("size") > capacity).alias("oversized"))
-    out, waiting = None, pieces.select("doc_id", "part", "tokens")
-    oversized = sized.where(F.col("size") > capacity)
-    for r in range(rounds):
-        pools = max(1, partitions // pool**r)
+    pieces = cut_lineage(_pieces(docs, doc_id, size, capacity))
+    n, bound = global_bound(pieces, capacity)
+    pools, kept, fixed, waiting, r = max(1, -(-n // pool_items)), [], 0, pieces, 0
+    while True:
         placed = waiting.withColumn("pool", F.pmod(F.xxhash64("doc_id", F.lit(r)), F.lit(pools)).cast("long"))
-        last = r == rounds - 1 or pools == 1
-        packed = placed.repartition(pools, "pool").mapInPandas(_packer(capacity, r, last), _PACKED)
-        if not last:
-            packed = cut_lineage(packed)
-        kept = packed.where(~F.col("released")).drop("released")
-        out = kept if out is None else out.unionByName(kept)
-        if last:
+        packed = placed.repartition(pools, "pool").mapInPandas(_packer(capacity, r, pools == 1), _PACKED)
+        if pools == 1:
+            kept.append(packed)
             break
-        waiting = packed.where("released").select("doc_id", "part", "tokens")
-    large = oversized.select("doc_id", F.lit(True).alias("_large"))
-    return out.withColumn("oversized", F.col("part") > 0).join(large, "doc_id", "left").select(
-        "doc_id", "part", "tokens", "bin_id", "bin_start", "bins", "bound", F.coalesce("_large", F.lit(False)).alias("oversized")
-    )
-
-
-def packing_report(packed: DataFrame) -> DataFrame:
-    """One row: bins, the bound that no packing can beat (tokens over capacity), documents, tokens and the share of used room."""
-    per_bin = packed.groupBy("bin_id").agg(F.sum("tokens").alias("fill"))
-    return per_bin.agg(F.count("*").alias("bins"), F.sum("fill").alias("tokens"), F.min("fill").alias("least_fill"), F.max("fill").alias("most_fill"))
+        packed = cut_lineage(packed)
+        open_bins = packed.groupBy("released").agg(F.countDistinct("bin_id").alias("n")).toPandas().set_index("released").n
+        if fixed + open_bins.sum() <= bound * (1 + tolerance):
+            kept.append(packed)
+            break
+        fixed += open_bins.get(False, 0)
+        kept.append(packed.where(~F.col("released")))
+        waiting = packed.where("released").select("doc_id", "part", "tokens", "oversized")
+        pools, r = -(-pools // JOINED), r + 1
+    out = kept[0]
+    for x in kept[1:]:
+        out = out.unionByName(x)
+    return out.drop("released")
+
+
+def packing_report(packed: DataFrame, capacity: int = 4096) -> DataFrame:
+    """One row: documents, pieces, tokens, bins, the bound that no packing can beat, the share of room used, the least and the most filled bin."""
+    per_bin = packed.groupBy("bin_id").agg(F.sum("tokens").alias("fill"), F.count("*").alias("pieces"), F.count_if(F.col("part") == 0).alias("documents"))
+    _, bound = global_bound(packed, capacity)
+    return per_bin.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("fill"), F.lit(0)).alias("tokens"), F.count("*").alias("bins"), F.lit(bound).cast("long").alias("bound"),
+        (F.sum("fill") / (F.count("*") * capacity)).alias("used"), F.min("fill").alias("least_fill"), F.max("fill").alias("most_fill"),
+    )
 
 
 def found_oversized(documents: DataFrame, capacity: int = 4096) -> DataFrame:
-    """p6_found: the documents that the packing had to split."""
-    return pack_documents(documents, "doc_id", byte_tokens(F.col("text")), capacity).where("oversized").select("doc_id").distinct()
+    """p6_found: the documents of which the packing holds more than one part."""
+    return pack_documents(documents, "doc_id", byte_tokens(F.col("text")), capacity).where("part > 0").select("doc_id").distinct()

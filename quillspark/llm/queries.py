@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: visual_form.found_lookalikes(_t(s, d, "episodes"), _t(s, d, "query_log"), _t(s, d, "query_catalog")),
         "p6_found": lambda s, d: packing.found_oversized(_t(s, d, "documents")),
         "p6_bins": lambda s, d: packing.pack_documents(_t(s, d, "documents"), "doc_id", packing.byte_tokens(F.col("text"))).select("doc_id", "part", "tokens"),
+        "p6_packing": lambda s, d: packing.packing_report(packing.pack_documents(_t(s, d, "documents"), "doc_id", packing.byte_tokens(F.col("text")))),
         "p7_found": lambda s, d: mixing.found_short(_t(s, d, "documents"), _t(s, d, "mix_targets")),
         "p7_plan": lambda s, d: mixing.mix_report(_t(s, d, "documents"), _t(s, d, "mix_targets")).select("source", "size", "epochs", "short"),
         "p7_mix": lambda s, d: mixing.mix_report(_t(s, d, "documents"), _t(s, d, "mix_targets")).select("source", "budget", "mixed_tokens", "actual_share"),
@@ -36,11 +37,15 @@ _LETTERS = r"nullif(replace(lower(regexp_replace(regexp_replace(replace(x, '&amp
 
 
 def oracle_sql() -> dict[str, str]:
+    # The level at which each source would be the first below its cap; the greatest that holds is the water level.
     plan = f"""
         WITH sized AS ({_SIZED}), totals AS (
             SELECT m.source, m.target_share, m.max_repeats, CAST(coalesce(sum(s.size), 0) AS BIGINT) AS size
             FROM mix_targets m LEFT JOIN sized s ON s.source = m.source GROUP BY ALL),
-        budgets AS (SELECT *, target_share * sum(size) OVER () AS budget FROM totals)
+        caps AS (SELECT *, max_repeats * size AS cap, sum(size) OVER () AS total, sum(target_share) OVER () AS shares FROM totals),
+        levels AS (SELECT a.source, (any_value(a.total) * any_value(a.shares) - coalesce(sum(b.cap), 0)) / (any_value(a.shares) - coalesce(sum(b.target_share), 0)) AS level, any_value(a.cap / a.target_share) AS ratio
+            FROM caps a LEFT JOIN caps b ON b.cap / b.target_share < a.cap / a.target_share OR b.cap / b.target_share = a.cap / a.target_share AND b.source < a.source GROUP BY a.source),
+        budgets AS (SELECT *, coalesce(least(target_share * (SELECT max(level) FROM levels WHERE level <= ratio), cap), cap) AS budget FROM caps)
     """
     return {
         "p2_found": f"""
@@ -60,8 +65,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_bins": f"""
             SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(least(4096, size - part * 4096) AS BIGINT) AS tokens
             FROM (SELECT doc_id, size, unnest(range((size + 4095) // 4096)) AS part FROM ({_SIZED}))""",
-        "p7_found": plan + "SELECT source FROM budgets WHERE budget > max_repeats * size",
+        "p7_found": plan + "SELECT source FROM budgets WHERE target_share * total > max_repeats * size",
         "p7_plan": plan + """
             SELECT source, size, CAST(CASE WHEN size > 0 THEN least(floor(budget / size), max_repeats) ELSE 0 END AS INTEGER) AS epochs,
-                   budget > max_repeats * size AS short FROM budgets""",
+                   target_share * total > max_repeats * size AS short FROM budgets""",
     }

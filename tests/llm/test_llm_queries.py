@@ -48,8 +48,9 @@ def test_what_the_mix_took(spark, small):
     longest = spark.read.parquet(f"{small}/documents.parquet").agg(F.max(F.octet_length("text"))).first()[0] + 1
     assert set(plan) == set(mix) and sum(r.actual_share for r in mix.values()) == pytest.approx(1)
     for s, r in mix.items():
-        assert abs(r.mixed_tokens - min(r.budget, repeats[s] * plan[s].size)) <= longest
-        assert plan[s].short == (r.budget > repeats[s] * plan[s].size)
+        assert abs(r.mixed_tokens - r.budget) <= longest and r.budget <= repeats[s] * plan[s].size
+        if plan[s].short:
+            assert r.budget == repeats[s] * plan[s].size
 
 
 def test_prose_verdicts_against_labels(spark, small):

@@ -291,11 +291,7 @@ def test_pack_documents(spark):
     rng = random.Random(3)
     sizes = {i: rng.randint(1, 120) for i in range(3000)} | {9000: 250, 9001: 100, 9002: 200}
     rows = [*sizes.items(), (5, sizes[5]), (9100, None), (9101, 0), (None, 7)]
-    spark.conf.set("spark.sql.shuffle.partitions", "32")
-    try:
-        got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, n bigint"), "doc_id", F.col("n"), 100).toPandas()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, n bigint"), "doc_id", F.col("n"), 100, pool_items=100).toPandas()
     assert got.groupby("doc_id").tokens.sum().to_dict() == sizes
     fill = got.groupby("bin_id").tokens.sum()
     assert fill.max() <= 100 and len(fill) <= 1.03 * math.ceil(sum(sizes.values()) / 100)
@@ -303,8 +299,32 @@ def test_pack_documents(spark):
     assert (got[~got.oversized].groupby("doc_id").size() == 1).all() and not got.duplicated(["doc_id", "part"]).any()
 
 
+def test_bound_of_counts():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 101, 500)
+    distinct, n = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(distinct, 100, n) == packing.lower_bound(sizes, 100)
+
+
+def test_packing_is_near_its_bound_whatever_the_partitions(spark):
+    rng = random.Random(5)
+    sizes = {i: min(int(rng.lognormvariate(5.5, 1.2)) + 1, 9000) for i in range(6000)}
+    df, reports = spark.createDataFrame(list(sizes.items()), "doc_id bigint, n bigint"), set()
+    try:
+        for partitions in (4, 16, 64, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            reports.add(tuple(packing.packing_report(packing.pack_documents(df, "doc_id", F.col("n"), pool_items=2000, tolerance=0.002)).first()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(reports) == 1
+    docs, pieces, tokens, bins, bound, used, least, most = reports.pop()
+    assert (docs, tokens) == (6000, sum(sizes.values())) and most <= 4096 and bound <= bins <= bound * 1.005 and used > 0.99
+    assert packing.global_bound(packing._pieces(df, "doc_id", F.col("n"), 4096), 4096)[1] == bound
+
+
 def test_pack_nothing(spark):
-    assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, n bigint"), "doc_id", F.col("n"), 100).count() == 0
+    packed = packing.pack_documents(spark.createDataFrame([], "doc_id bigint, n bigint"), "doc_id", F.col("n"), 100)
+    assert packed.count() == 0 and packing.packing_report(packed, 100).first().bins == 0
 
 
 # mixing
@@ -332,6 +352,24 @@ def test_mixing(spark, monkeypatch, per_range):
         assert abs((mine.tokens * mine.repeats).sum() - want) <= 50
     assert (rep["small"].short, rep["none"].short, rep["b"].short) == (True, True, False)
     assert sum(r.actual_share for r in rep.values()) == pytest.approx(1)
+    # What the short sources leave goes to the others by their shares.
+    level = sum(r.size for r in rep.values()) * (0.3 + 0.6 + 0.1 + 0.0001) - 3 * rep["small"].size
+    assert [rep[s].budget for s in "ab"] == [pytest.approx(level * w / 0.9, rel=1e-3) for w in (0.3, 0.6)]
+
+
+def test_ranges_of_skewed_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 200)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).alias("n"), F.when(F.col("id") % 100 == 0, 50.0).otherwise(0.01 + F.col("id") % 7 / 1000).alias("w"))
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    keyed = mixing.mix_sources(docs, targets, F.col("n"), F.col("w"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "range" in keyed
+    _, plan = mixing._sized(docs, targets, F.col("n"), F.col("w"))
+    p = plan.first()
+    u = np.random.default_rng(0).random(4000)
+    w = np.array([r.w for r in docs.select("w").collect()])
+    key = -np.log(u) / w
+    below = sum(x.docs * (1 - np.exp(-key * x.weight)) for x in p.weights) / p.docs
+    assert p.ranges == 20 and np.bincount(np.minimum((below * 20).astype(int), 19), minlength=20).max() < 300
 
 
 def test_mixing_is_the_same_in_ranges(spark, monkeypatch):
