@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import free_name
+from ..session import cut_lineage, free_name
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "zh-cn", "zh-tw")
-#: Bounds of the fitted sample: rows of each language, and characters of a row's text.
-SAMPLE_ROWS, SAMPLE_CHARS = 600, 3000
+#: Bound of the fitted sample: rows of each language. Their texts are taken whole.
+SAMPLE_ROWS = 600
 #: n-grams of a language profile.
 PROFILE = 1000
 #: An ideograph or kana counts as so many Latin letters where scripts are mixed; only the n-grams of the heavier script are compared.
@@ -82,12 +82,6 @@ class Profiles:
         for k, lang in enumerate(self.languages):
             self.ranks[np.searchsorted(self.vocabulary, ordered[lang]), k] = np.log2(1 + np.arange(len(ordered[lang])))
 
-    @staticmethod
-    def count(texts: list[str], size: int) -> list[int]:
-        packed, _, _ = _grams(texts)
-        grams, n = np.unique(packed, return_counts=True)
-        return grams[np.lexsort((grams, -n))[:size]].tolist()
-
     def distances(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(lines x languages) out-of-place distances over the known n-grams, the numbers of these and of letters."""
         packed, line, letters = _grams(lines)
@@ -127,22 +121,39 @@ class Profiles:
         return best, (np.maximum(d.min(axis=1, keepdims=True), 1e-6) / np.maximum(d, 1e-6)).astype("f4"), d.astype("f4")
 
 
-def fit_profiles(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, size: int = PROFILE, languages: tuple[str, ...] = LANGUAGES) -> Profiles:
+def _gram_counts(profiles: Profiles | None, sure: float):
+    """(lang, gram, n) over the lines of labelled texts; with profiles only over those that agree with their label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, part in b.groupby("lang"):
+                lines = [x for t in part.text for x in t.split("\n") if x.strip()]
+                if profiles is not None:
+                    found, confidence = profiles.classify(lines)
+                    lines = [x for x, got, c in zip(lines, found, confidence) if got == lang and c > sure]
+                grams, n = np.unique(_grams(lines)[0], return_counts=True) if lines else (np.zeros(0, "i8"),) * 2
+                yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+
+    return run
+
+
+def fit_profiles(labelled: DataFrame, text: str, lang: str, sample_rows: int = SAMPLE_ROWS, size: int = PROFILE, languages: tuple[str, ...] = LANGUAGES) -> Profiles:
     """Profiles of the languages from a bounded sample of labelled rows: `sample_rows` of each label, in the order of a hash of their text.
 
-    Labels may be partly wrong. A first fit classifies the sample's lines; the second takes only lines that agree with their label.
+    Labels may be partly wrong. A first fit classifies the sample's lines; the next two take only lines that agree with their
+    label (all of a language if none does). Texts are counted where they lie; the driver sees the profiles only.
     """
-    label = tag_language(F.col(lang))
-    rows = labelled.where(F.length(text) > 0).select(label.alias("lang"), F.substring(text, 1, sample_chars).alias("text"), F.xxhash64(text).alias("h")).where(F.col("lang").isin(*languages))
-    picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_rows).drop("n", "h").toPandas()
-    lines = {k: [x for t in part.text for x in t.split("\n") if x.strip()] for k, part in picked.groupby("lang")}
-    fitted = Profiles({k: Profiles.count(v, size) for k, v in lines.items()}, size)
-    for _ in range(2):
-        agree = {}
-        for k, v in lines.items():
-            langs, sure = fitted.classify(v)
-            agree[k] = [x for x, got, c in zip(v, langs, sure) if got == k and c > 0.02] or v
-        fitted = Profiles({k: Profiles.count(v, size) for k, v in agree.items()}, size)
+    rows = labelled.where(F.length(text) > 0).select(tag_language(F.col(lang)).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where(F.col("lang").isin(*languages))
+    picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= sample_rows).select("lang", "text")
+    picked = cut_lineage(picked.repartition(12))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ordered: dict[str, list[int]] = {}
+    fitted = None
+    for _ in range(3):
+        counts = picked.repartition(12).mapInPandas(_gram_counts(fitted, 0.02), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        found = counts.withColumn("place", F.row_number().over(first)).where(F.col("place") <= size).orderBy("lang", "place").select("lang", "gram").toPandas()
+        ordered |= {k: part.gram.tolist() for k, part in found.groupby("lang")}
+        fitted = Profiles(ordered, size)
     return fitted
 
 
@@ -219,6 +230,15 @@ def with_languages(docs: DataFrame, text: str, profiles: Profiles, out: str = "l
     return docs.withColumn(free_name(docs.columns, out), line_languages(F.col(f"`{text}`"), profiles))
 
 
+def description_languages(episodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(episode_id, line_no, lang, confidence) of every description (line_no null) and of each of its lines that has a language, distinct."""
+    profiles = fit_profiles(documents, "text", "lang")
+    rows = episodes.where(F.col("description").isNotNull() & F.col("episode_id").isNotNull()).select("episode_id", line_languages(F.col("description"), profiles).alias("found"))
+    lines = F.transform(F.arrays_zip("found.langs", "found.confidences"), lambda x, i: F.struct(i.cast("bigint").alias("line_no"), x["langs"].alias("lang"), x["confidences"].alias("confidence")))
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("line_no"), F.col("found.main").alias("lang"), F.col("found.confidence").alias("confidence")))
+    return rows.select("episode_id", F.explode(F.concat(whole, lines)).alias("x")).select("episode_id", "x.*").where(F.col("lang").isNotNull() | F.col("line_no").isNull()).distinct()
+
+
 def found_labels(shows: DataFrame, raw_shows: DataFrame, episodes: DataFrame, documents: DataFrame) -> DataFrame:
     """p4_found. The profiles are fitted on labelled documents."""
     profiles = fit_profiles(documents, "text", "lang")
