@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: language.found_labels(_t(s, d, "shows"), _t(s, d, "raw_shows"), _t(s, d, "episodes"), _t(s, d, "documents")),
         "p4_languages": lambda s, d: language.description_languages(_t(s, d, "episodes"), _t(s, d, "documents")),
         "p5_found": lambda s, d: visual_form.found_lookalikes(_t(s, d, "episodes"), _t(s, d, "query_log"), _t(s, d, "query_catalog")),
+        "p5_classes": lambda s, d: visual_form.episode_classes(_t(s, d, "episodes")),
         "p6_found": lambda s, d: packing.found_oversized(_t(s, d, "documents")),
         "p6_bins": lambda s, d: packing.pack_documents(_t(s, d, "documents"), "doc_id", packing.byte_tokens(F.col("text"))).select("doc_id", "part", "tokens"),
         "p6_packing": lambda s, d: packing.packing_report(packing.pack_documents(_t(s, d, "documents"), "doc_id", packing.byte_tokens(F.col("text")))),

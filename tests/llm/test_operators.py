@@ -239,34 +239,60 @@ SAME = [
 APART = [("A", "a"), ("e", "é"), ("x²", "x2"), ("½", "1/2"), ("a.b", "a,b"), ("ab", "a b"), ("①", "1")]
 
 
+@pytest.fixture(scope="module")
+def canonical(spark):
+    return visual_form.Canonical(visual_form.lookalikes(spark))
+
+
 @pytest.mark.parametrize("a,b", SAME)
-def test_equal_looks(a, b):
-    assert visual_form.canonical(a) == visual_form.canonical(b) == b
+def test_equal_looks(canonical, a, b):
+    assert canonical(a) == canonical(b) == b
 
 
 @pytest.mark.parametrize("a,b", APART)
-def test_different_looks(a, b):
-    assert visual_form.canonical(a) != visual_form.canonical(b)
+def test_different_looks(canonical, a, b):
+    assert canonical(a) != canonical(b)
+
+
+OTHER_SCRIPTS = ["по", "ос", "Это слово по русски", "ΕΛΛΑΣ", "Το όνομα και ο λόγος", "We say по and слово there", "κόσμος"]
+
+
+@pytest.mark.parametrize("text", OTHER_SCRIPTS)
+def test_words_of_other_scripts_stay(canonical, text):
+    assert canonical(text) == text
+
+
+def test_a_word_of_lookalikes_in_a_latin_line(canonical):
+    assert canonical("Live ЕР42 аt nоon, а day") == "Live EP42 at noon, a day"
+    assert canonical("Слово\nраir оf it") == "Слово\npair of it"
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=30))
-def test_canonical_is_stable(text):
-    once = visual_form.canonical(text)
-    assert visual_form.canonical(once) == once
+@given(text=st.one_of(st.text(max_size=30), st.text(alphabet=st.sampled_from("aаеоopР\u0301\u0300Ѐсω αά ſﬁ\n"), max_size=30)))
+def test_canonical_is_stable(canonical, text):
+    once = canonical(text)
+    assert canonical(once) == once
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.characters(codec="ascii", min_codepoint=33), max_size=40))
-def test_plain_text_is_untouched(text):
-    assert visual_form.canonical(text) == text
+@given(text=st.text(alphabet=st.characters(codec="ascii", min_codepoint=33), max_size=40))
+def test_plain_text_is_untouched(canonical, text):
+    assert canonical(text) == text
+
+
+def test_texts_that_stay_in_the_jvm_are_stable(spark, canonical):
+    texts = ["plain", "two  spaces", " edge", "edge ", "line \nend", "tab\tin", "ＷＩＤＥ", "Café", "Cafе", "不", "é\u0301", "x\u200by", "ok\nfine", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.c for r in rows.select(visual_form.canonical_form(spark)(F.col("t")).alias("c")).collect()] == [canonical(t) for t in texts]
 
 
-def test_pairs(spark):
-    rows = [("g", "b", "Café"), ("g", "a", "Café"), ("g", "c", "Café"), ("h", "d", "Café"), ("g", "e", None), (None, "f", "Café"), ("g", "a", "Café"), ("g", "x", "y" * 50_000), ("g", "z", "")]
+def test_classes_and_pairs(spark):
+    rows = [("g", "b", "Café"), ("g", "a", "Cafe\u0301"), ("g", "c", "Café"), ("h", "d", "Cafe\u0301"), ("g", "e", None), (None, "f", "Café"), ("g", "a", "Cafe\u0301"), ("g", "x", "y" * 50_000), ("g", "z", "")]
     df = spark.createDataFrame(rows, "g string, k string, t string")
-    assert {(r.key_a, r.key_b) for r in visual_form.lookalike_pairs(df, ["g"], "k", "t").collect()} == {("a", "b"), ("a", "c")}
-    assert visual_form.lookalike_pairs(df.limit(0), ["g"], "k", "t").count() == 0
+    classes = visual_form.lookalike_classes(df, ["g"], "k", "t")
+    assert {(r.g, r.key) for r in classes.collect()} == {("g", "a"), ("g", "b"), ("g", "c")} and classes.select("form").distinct().count() == 1 and classes.select("variant").distinct().count() == 2
+    assert {(r.key_a, r.key_b) for r in visual_form.lookalike_pairs(classes, ["g"]).collect()} == {("a", "b"), ("a", "c")}
+    assert visual_form.lookalike_classes(df.limit(0), ["g"], "k", "t").count() == 0
     out = visual_form.with_canonical_form(df.withColumn("Canonical", F.lit(1)), "t")
     assert out.columns[-1] == "canonical_1" and out.count() == len(rows)
 
