@@ -5,8 +5,8 @@ character class. Only the segments it finds, with one character of context befor
 into the text around them, which stays as it is. Texts without such a segment never leave the JVM.
 
 Letters that look like Latin ones come from the public confusables data that ICU holds (part of Spark). They are read as
-Latin only in a word that has Latin letters, or in a line that has Latin letters and no letter that is clearly of another
-alphabet; a word of one other script in a text of that script stays as it is.
+Latin only in a word that has Latin letters or mixes scripts, or in a line that has such a word and no letter that is clearly
+of another alphabet; a word of one other script in a text of that script stays as it is.
 """
 
 from __future__ import annotations
@@ -94,6 +94,7 @@ def lookalikes(spark: SparkSession) -> dict[int, str]:
 
 _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+_SCRIPTS = [re.compile(x) for x in (r"[\u0370-\u03ff\u1f00-\u1fff]", r"[\u0400-\u052f]", r"[\u0530-\u058f]", r"[\u13a0-\u13ff\uab70-\uabbf]", r"[\u2c80-\u2cff]")]
 _OTHER = re.compile(r"[\u0370-\u058f\u10a0-\u10ff\u13a0-\u13ff\u1f00-\u1fff\u2c80-\u2cff\uab70-\uabbf]")
 
 
@@ -112,14 +113,14 @@ class Canonical:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(_tables()[0]))
 
     def _line(self, line: str) -> str:
-        if not self._any.search(line) or not _LATIN.search(line):
+        if not self._any.search(line):
+            return line
+        words = _WORD.findall(line)
+        mixed = {w for w in words if _LATIN.search(w) or sum(bool(x.search(w)) for x in _SCRIPTS) > 1}
+        if not mixed:
             return line
         clear = any(ord(c) not in self.looks for c in _OTHER.findall(line))
-
-        def word(m: re.Match) -> str:
-            return m[0].translate(self.looks) if not clear or _LATIN.search(m[0]) else m[0]
-
-        return _WORD.sub(word, line)
+        return _WORD.sub(lambda m: m[0].translate(self.looks) if not clear or m[0] in mixed else m[0], line)
 
     def __call__(self, text: str) -> str:
         """Unstable segments normalised, lookalike letters read as Latin, runs of white space one space, none at line ends."""

@@ -264,6 +264,7 @@ def test_words_of_other_scripts_stay(canonical, text):
 
 def test_a_word_of_lookalikes_in_a_latin_line(canonical):
     assert canonical("Live ЕР42 аt nоon, а day") == "Live EP42 at noon, a day"
+    assert canonical("\u0395\u042073 從山間") == "EP73 從山間"  # Greek and Cyrillic in one word
     assert canonical("Слово\nраir оf it") == "Слово\npair of it"
 
 
