@@ -28,6 +28,8 @@ SIGNS = {0x2010: "-", 0x2011: "-", 0x2024: ".", 0x0589: ":", 0x01C0: "|"}
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 _SAME_LOOK_RANGES = ((0xFB00, 0xFB4F), (0x2E80, 0x2FDF), (0x2160, 0x217F), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0132, 0x0133), (0x3131, 0x318E))
 _PLANES = ((0x80, 0x10000), (0x1D400, 0x1D800), (0x2F800, 0x2FA20), (0xE0000, 0xE0200))
+#: Where most characters of texts that never change lie: ASCII, Latin letters, quotes and dashes, kana, ideographs.
+_COMMON = ((0x0A, 0x0A), (0x20, 0x7E), (0xA1, 0x17E), (0x2013, 0x2014), (0x2018, 0x201F), (0x2026, 0x2026), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF))
 _INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0}
 
 
@@ -105,9 +107,10 @@ class Canonical:
         self.looks = looks or {}
         self._any = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(set(self.looks))) + "]") if self.looks else None
 
-    def unstable_class(self) -> str:
-        """The characters that can change, as a class for the JVM."""
-        return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges({c for a, b in _tables()[1] for c in range(a, b + 1)} | set(self.looks))) + "]"
+    def stable_class(self) -> str:
+        """Common characters that never change, as a class for the JVM of a few ranges (it tries ranges one by one)."""
+        changing = {c for a, b in _tables()[1] for c in range(a, b + 1)} | set(self.looks)
+        return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges({c for a, b in _COMMON for c in range(a, b + 1)} - changing))
 
     def _segment(self, m: re.Match) -> str:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(_tables()[0]))
@@ -138,9 +141,9 @@ _LOOSE = re.compile(r" {2,}|^ | $", re.M)
 
 
 def canonical_form(spark: SparkSession) -> Callable[[Column], Column]:
-    """An expression of the canonical form. Stable texts (no character that can change, no loose space) stay in the JVM."""
+    """An expression of the canonical form. Texts of common characters that never change, without a loose space, stay in the JVM."""
     form = Canonical(lookalikes(spark))
-    changes = form.unstable_class() + r"|[\x00-\x09\x0b-\x1f]|  | $|^ |\n | \n"
+    changes = f"[^{form.stable_class()}]" + r"|  | $|^ |\n | \n"
 
     def run(s: pd.Series) -> pd.Series:
         return s.map(form, na_action="ignore")
