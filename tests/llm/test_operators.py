@@ -29,19 +29,37 @@ def exact(x, k):
     return np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
-@pytest.mark.parametrize("bits,least", [(0, 0.97), (10, 0.95)])
-def test_neighbours_recall(spark, bits, least):
+@pytest.mark.parametrize("rows", [None, 1 << 23])
+def test_neighbours_recall(spark, rows):
     x = clustered(1500)
-    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 10, value_bits=bits).toPandas()
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 10, expected_rows=rows).toPandas()
     want = exact(x.astype("f4"), 10)
     hits = sum(len(set(g.neighbor) & set(want[i])) for i, g in got.groupby("vec_id"))
-    assert hits / want.size > least
-    assert got.groupby("vec_id").size().max() <= 10 and (got.vec_id != got.neighbor).all()
+    assert hits / want.size > 0.97
+    assert (got.groupby("vec_id").size() == 10).all() and got.vec_id.nunique() == 1500 and (got.vec_id != got.neighbor).all()
+
+
+def test_substrings_cover_the_code(spark):
+    assert {b for _, b in neighbors._plan(1 << 23)} == {16}
+    for n in (100, 112_632, 1 << 23, 10**9):
+        plan = neighbors._plan(n)
+        assert [a for a, _ in plan] == np.cumsum([0, *(b for _, b in plan)])[:-1].tolist() and sum(b for _, b in plan) == 192
+        words = [0x0123456789ABCDEF, -0x0123456789ABCDE1, 0x7EDCBA9876543210]
+        code = sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(words))
+        row = spark.createDataFrame([tuple(words)], "c0 bigint, c1 bigint, c2 bigint").select(*(neighbors._substring(*x).alias(f"s{i}") for i, x in enumerate(plan))).first()
+        assert list(row) == [code >> a & (1 << b) - 1 for a, b in plan]
+
+
+def test_exact_neighbours(spark):
+    x = clustered(700)
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, exact=True).toPandas()
+    want = exact(x.astype("f4"), 5)
+    assert all(set(g.neighbor) == set(want[i]) for i, g in got.groupby("vec_id"))
 
 
 def test_neighbours_when_buckets_and_groups_are_split(spark):
     x = clustered(1200, clusters=2)
-    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, value_bits=0, bucket_rows=100, group_rows=150).toPandas()
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, bucket_rows=100, group_rows=150).toPandas()
     assert got.vec_id.nunique() == 1200 and got.groupby("vec_id").size().min() >= 1
 
 
@@ -49,7 +67,7 @@ def test_neighbours_in_a_topic_of_a_third_of_all_rows(spark):
     rng = np.random.default_rng(5)
     x, n = clustered(1500, clusters=60, seed=3), 500
     x[:n] = rng.normal(size=32) * 3 + rng.normal(size=(n, 32))
-    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, value_bits=0, bucket_rows=32, group_rows=32).toPandas()
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, bucket_rows=32, group_rows=32).toPandas()
     want = exact(x.astype("f4"), 5)
     hits = [len(set(g.neighbor) & set(want[i])) / 5 for i, g in got.groupby("vec_id") if i < n]
     assert sum(hits) / n > 0.98
@@ -78,7 +96,7 @@ def test_neighbours_copies_and_bad_rows(spark):
 
 def test_neighbours_without_clusters(spark):
     x = np.random.default_rng(2).normal(size=(800, 32))
-    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5, value_bits=0).toPandas()
+    got = neighbors.nearest_neighbors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC), "vec_id", "embedding", 32, 5).toPandas()
     assert got.vec_id.nunique() > 780
     want = exact(x.astype("f4"), 5)
     assert np.mean([len(set(g.neighbor) & set(want[i])) / 5 for i, g in got.groupby("vec_id")]) > 0.2
@@ -90,12 +108,15 @@ def test_neighbours_of_nothing(spark):
     assert neighbors.nearest_neighbors(spark.createDataFrame([(1, [1.0] * 32)], VEC), "vec_id", "embedding", 32).count() == 0
 
 
-@pytest.mark.parametrize("bits", [0, 8, 10, 16])
-def test_packed_values(bits):
-    x = clustered(50)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    back = neighbors._unpack(neighbors._pack(x, bits), bits, 32)
-    assert np.abs(back - x).max() < (1e-6 if not bits else 4 / 2**bits)
+@pytest.mark.parametrize("steps", [2, 20, 300, None])
+def test_values_lose_nothing(steps):
+    x = clustered(50).astype("f4")
+    if steps:
+        x = (np.round(x * steps) / np.float32(steps)).astype("f4")
+    values = neighbors.Values(x[:40], 32)
+    assert bool(len(values.known)) == bool(len(np.unique(x[:40])) <= 1 << 14)
+    want = x / np.sqrt((x.astype("f8") ** 2).sum(axis=1))[:, None].astype("f4")
+    assert (values.unpack(values.pack(x)) == want).all()
 
 
 # standing lines
