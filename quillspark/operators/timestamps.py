@@ -7,14 +7,15 @@ converted as NumPy columns. Local times go through per-zone transition tables th
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 import re
+import struct
 import unicodedata
 import zoneinfo
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
+from importlib import resources
 from pathlib import Path
 
 import numpy as np
@@ -110,32 +111,83 @@ class ZoneTable:
         return best, found
 
 
-@lru_cache(maxsize=1024)
-def zone_table(name: str, first_year: int = 1950, last_year: int = 2100) -> ZoneTable | None:
-    """The table of an IANA zone, None for an unknown name. Offsets are probed weekly and each change is found by bisection."""
+def _zone_file(name: str) -> bytes | None:
+    """The compiled data of an IANA zone, None for an unknown name."""
+    if not re.fullmatch(r"[A-Za-z0-9_+\-]+(?:/[A-Za-z0-9_+\-]+)*", name):
+        return None
+    for root in zoneinfo.TZPATH:
+        path = Path(root, name)
+        if path.is_file():
+            data = path.read_bytes()
+            return data if data[:4] == b"TZif" else None
     try:
-        zone = zoneinfo.ZoneInfo(name)
-    except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError, IsADirectoryError):
+        data = resources.files("tzdata.zoneinfo").joinpath(name).read_bytes()
+    except (ModuleNotFoundError, OSError, ValueError):
+        return None
+    return data if data[:4] == b"TZif" else None
+
+
+_POSIX = re.compile(r"(?:<[^>]+>|[A-Za-z]+)(?P<std>[+-]?[\d:]+)(?:(?:<[^>]+>|[A-Za-z]+)(?P<dst>[+-]?[\d:]+)?,(?P<start>[^,]+),(?P<end>[^,]+))?")
+
+
+def _hms(text: str) -> int:
+    sign = -1 if text[0] == "-" else 1
+    return sign * sum(int(x) * 60 ** (2 - i) for i, x in enumerate(text.lstrip("+-").split(":")))
+
+
+def _rule_seconds(rule: str, years: np.ndarray) -> np.ndarray:
+    """Local seconds of the change that a footer rule (Mm.w.d, Jn or n, with a time) names in each year."""
+    day, _, time = rule.partition("/")
+    first = (years - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype("i8")
+    if day[0] == "M":
+        month, week, weekday = map(int, day[1:].split("."))
+        begin = ((years - 1970) * 12 + month - 1).astype("datetime64[M]")
+        d, after = begin.astype("datetime64[D]").astype("i8"), (begin + 1).astype("datetime64[D]").astype("i8")
+        days = d + (weekday - (d + 4)) % 7 + 7 * (week - 1)
+        days = np.where(days >= after, days - 7, days)
+    else:
+        leap = (years % 4 == 0) & ((years % 100 != 0) | (years % 400 == 0))
+        n = int(day.lstrip("J"))
+        days = first + (n - 1 + (leap & (n >= 60)) if day[0] == "J" else n)
+    return days * 86400 + (_hms(time) if time else 7200)
+
+
+@lru_cache(maxsize=1024)
+def zone_table(name: str, until: int = 2100) -> ZoneTable | None:
+    """The table of an IANA zone, None for an unknown name: the transitions of its file, and those of its footer rule to the year `until`."""
+    data = _zone_file(name)
+    if data is None:
         return None
-    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
-
-    def offset(sec: int) -> int:
-        return int((epoch + dt.timedelta(seconds=sec)).astimezone(zone).utcoffset().total_seconds())
-
-    sec, end = (int((dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc) - epoch).total_seconds()) for y in (first_year, last_year))
-    week = 7 * 86400
-    starts, offsets = [], [offset(sec)]
-    while sec < end:
-        if (there := offset(sec + week)) != offsets[-1]:
-            a, b = sec, sec + week
-            while b - a > 1:
-                a, b = ((a + b) // 2, b) if offset((a + b) // 2) == offsets[-1] else (a, (a + b) // 2)
-            starts.append(b)
-            offsets.append(offset(b))
-            sec = b
+    at, width = 0, 4
+    for version in (1, 2):
+        utc, std, leaps, n, types, chars = struct.unpack(">6l", data[at + 20 : at + 44])
+        body = at + 44
+        if version == 1 and data[4:5] >= b"2":
+            at, width = body + n * 5 + types * 6 + chars + leaps * 8 + std + utc, 8
             continue
-        sec += week
-    return ZoneTable(zone_data_version(), np.array(starts, "i8"), np.array(offsets, "i8"))
+        break
+    starts = np.frombuffer(data, ">i8" if width == 8 else ">i4", n, body).astype("i8")
+    index = np.frombuffer(data, "u1", n, body + n * width)
+    infos = [struct.unpack(">lBB", data[body + n * (width + 1) + 6 * i : body + n * (width + 1) + 6 * i + 6]) for i in range(types)]
+    before = next((i for i in infos if not i[1]), infos[0])
+    offsets = np.concatenate([[before[0]], np.array([i[0] for i in infos], "i8")[index]]).astype("i8")
+    footer = data[body + n * (width + 1) + types * 6 + chars + leaps * (width + 4) + std + utc :].strip().decode() if width == 8 else ""
+    if m := _POSIX.fullmatch(footer):
+        normal = -_hms(m["std"])
+        last = int(starts[-1]) if n else -(1 << 60)
+        if m["start"]:
+            summer = -_hms(m["dst"]) if m["dst"] else normal + 3600
+            years = np.arange(max(1901, int(np.datetime64(max(last, -(2**31)), "s").astype("datetime64[Y]").astype("i8")) + 1970), until + 1)
+            changes = np.concatenate([_rule_seconds(m["start"], years) - normal, _rule_seconds(m["end"], years) - summer])
+            to = np.repeat([summer, normal], len(years))
+            order = np.argsort(changes, kind="stable")
+            order = order[changes[order] > last]
+            starts, offsets = np.concatenate([starts, changes[order]]), np.concatenate([offsets, to[order]])
+        elif offsets[-1] != normal:
+            starts, offsets = np.append(starts, max(last, -(2**31))), np.append(offsets, normal)
+    # Entries that change a name or a flag but not the offset are left out.
+    keep = np.flatnonzero(np.diff(offsets) != 0)
+    return ZoneTable(zone_data_version(), starts[keep], np.concatenate([offsets[:1], offsets[keep + 1]]))
 
 
 @lru_cache(maxsize=65536)
@@ -269,7 +321,8 @@ def _convert(texts: list[str], width: int, spans: dict[str, tuple[int, int]], ho
             names = np.full(len(mine), meaning, object) if kind == "zone" else np.array([z if isinstance(z, str) and zone_table(z.strip()) else default_zone for z in home[mine]], object)
             for name in set(names):
                 part = mine[names == name]
-                out[part], exists[part] = zone_table(name.strip()).to_utc(local[part])
+                until = 9999 if year[part].max() >= 2099 else 2100
+                out[part], exists[part] = zone_table(name.strip(), until).to_utc(local[part])
     status[~exists] = SKIPPED
     status[~good] = INVALID
     status[~known] = UNPARSED

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 import zoneinfo
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -81,3 +83,24 @@ def test_edges(spark):
     assert out.columns == ["k", "v", "utc_sec", "utc_sec_1", "utc_ts", "utc_status"]
     assert sorted((r.k or "", r.utc_sec_1, r.utc_status) for r in out.collect()) == [("", None, "null"), ("a", 1704067200, "ok"), ("a", 1704067200, "ok"), ("b", None, "unparsed")]
     assert T.normalize_timestamps(rows.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["America/New_York", "Europe/Dublin", "Asia/Tokyo", "Australia/Lord_Howe", "America/Sao_Paulo", "Africa/Casablanca", "Asia/Kolkata", "Europe/London", "America/St_Johns", "Antarctica/Troll", "UTC", "Pacific/Apia", "Asia/Gaza"])
+def test_zone_tables_against_zoneinfo(name):
+    zone, table = zoneinfo.ZoneInfo(name), T.zone_table(name, 9999)
+    rng = random.Random(1)
+    seconds = [rng.randint(-2_600_000_000, 9_000_000_000) for _ in range(3000)] + [int(x) + d for x in table.starts[:400] for d in (-1, 0, 1)] + [200_000_000_000]
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    for sec in seconds:
+        if sec > -2_600_000_000:
+            want = (epoch + dt.timedelta(seconds=sec)).astimezone(zone).utcoffset().total_seconds()
+            assert table.offsets[np.searchsorted(table.starts, sec, side="right")] == want, (name, sec)
+
+
+FAR = [("2150-07-01 12:00:00 America/New_York", 5695977600), ("1940-07-01 12:00:00 Europe/London", -931006800), ("1940-01-15 12:00:00 America/New_York", -945500400), ("9998-07-01 00:00:00 Europe/Berlin", 253354860000), ("2150-03-08 02:30:00 America/New_York", None)]
+
+
+@pytest.mark.parametrize("text,want", FAR)
+def test_years_far_from_now(text, want):
+    seconds, status = T.parse_batch(pd.Series([text]))
+    assert (status[0], seconds[0]) == (T.OK, want) if want is not None else status[0] == T.SKIPPED
