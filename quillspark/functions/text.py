@@ -15,20 +15,36 @@ SPACE = r"(?U)\s"
 
 
 class _TextNodes(HTMLParser):
+    """Text between tags and comments, a node each; text of scripts and styles is left out."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.skipping = [], 0
+        self.nodes, self.skipping, self._open = [], 0, []
+
+    def _close_node(self):
+        if self._open:
+            self.nodes.append("".join(self._open))
+            self._open = []
 
     def handle_starttag(self, tag, attrs):
+        self._close_node()
         self.skipping += tag in ("script", "style")
 
     def handle_endtag(self, tag):
+        self._close_node()
         if tag in ("script", "style") and self.skipping:
             self.skipping -= 1
 
+    def handle_comment(self, data):
+        self._close_node()
+
     def handle_data(self, data):
         if not self.skipping:
-            self.nodes.append(data)
+            self._open.append(data)
+
+    def close(self):
+        super().close()
+        self._close_node()
 
 
 def _parse(text: str) -> str:
@@ -48,12 +64,6 @@ def html_text(text: Column) -> Column:
     return F.coalesce(parsed, text)
 
 
-def strip_html(text: Column) -> Column:
-    """The variant in expressions only: entities of the ampersand read, scripts and styles dropped, each tag a line break."""
-    bare = F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "\n")
-    return F.regexp_replace(bare, r"</?[A-Za-z][^>]*>", "\n")
-
-
 def nfkc(text: Column) -> Column:
     """Compatibility composition; ASCII texts never leave the JVM."""
     other = F.when(~F.regexp_like(text, F.lit(r"^\p{ASCII}*$")), text)
@@ -71,6 +81,11 @@ def normalize(text: Column) -> Column:
     return squeeze(nfkc(text))
 
 
+def clean_text(text: Column) -> Column:
+    """What cleaning starts from: the text of HTML, normalised."""
+    return normalize(html_text(text))
+
+
 def paragraphs(text: Column) -> Column:
     """Parts between blank lines, trimmed, without empty ones; no part for a null text."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n(?U)\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))

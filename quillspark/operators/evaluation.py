@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,22 +47,47 @@ def grouped_means(per_query: DataFrame, method: str = "method", dims: tuple[str,
     )
 
 
-def bootstrap(per_query: DataFrame, keys: list[str], value: str, resamples: int = 1000, least: int = 5, seed: int = 42) -> DataFrame:
+def _poisson_sums(keys: list[str], resamples: int, seed: int):
+    """Sums and counts of each resample over the rows of a partition, by key: every row draws how often it enters each."""
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, part in b.groupby(keys, dropna=False, sort=False):
+                at = sums.setdefault(key, np.zeros((2, resamples)))
+                for a in range(0, len(part), 256):
+                    h, v = part["_h"].to_numpy("i8")[a : a + 256].view("u8"), part["_v"].to_numpy("f8")[a : a + 256]
+                    # A draw is a mix of the row's hash and the number of the resample.
+                    z = h[:, None] + (np.arange(1, resamples + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15))[None, :] + np.uint64(seed)
+                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    n = np.searchsorted(cuts, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype("f8") / 2.0**53)
+                    at[0] += v @ n
+                    at[1] += n.sum(axis=0)
+        if sums:
+            out = pd.DataFrame([k if isinstance(k, tuple) else (k,) for k in sums], columns=keys)
+            yield out.assign(_s=[x[0].tolist() for x in sums.values()], _n=[x[1].tolist() for x in sums.values()])
+
+    return run
+
+
+def bootstrap(per_query: DataFrame, keys: list[str], value: str, row: list[str], resamples: int = 1000, least: int = 5, seed: int = 42) -> DataFrame:
     """(keys..., low, high): the 2.5 and 97.5 percentiles of means of resamples with replacement, for groups of at least `least` rows.
 
-    Each row draws how often it enters a resample (Poisson bootstrap), so groups of any size are resampled where they lie.
+    `row` names the columns that tell rows apart. How often a row enters a resample (Poisson bootstrap) follows from a hash of
+    these, the value and the seed, so the result does not depend on how the rows lie (sums are rounded to nine decimals). Each
+    partition adds up its resamples and hands on one row a group. A null value counts in no mean.
     """
-    sized = per_query.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    rows = per_query.join(sized.drop("_n"), keys, "left_semi").withColumn("_h", F.xxhash64(*keys, F.col(value), F.monotonically_increasing_id()))
-    draws = rows.select(*keys, F.col(value).alias("v"), "_h", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    u = (F.pmod(F.xxhash64("_h", "r", F.lit(seed)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    below, p, cum = F.lit(0), 0.36787944117144233, 0.0
-    for i in range(8):
-        cum += p
-        below = below + F.when(u > cum, 1).otherwise(0)
-        p /= i + 1
-    means = draws.withColumn("n", below).groupBy(*keys, "r").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    kinds = dict(per_query.dtypes)
+    rows = per_query.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*keys, *row, F.col(value)).alias("_h"))
+    sized = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= least).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    parts = rows.mapInPandas(_poisson_sums(keys, resamples, seed), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _s array<double>, _n array<double>")
+    each = parts.select(*keys, F.posexplode(F.arrays_zip("_s", "_n")).alias("r", "x"))
+    means = each.groupBy(*keys, "r").agg((F.round(F.sum("x._s"), 9) / F.nullif(F.sum("x._n"), F.lit(0.0))).alias("m"))
+    found = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return found.join(sized, functools.reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def result_sets(ranked: DataFrame, k: int = 10, key: str = "query_id") -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +37,44 @@ class Store:
         finally:
             stream.close()
 
+    def _local(self, name: str) -> Path | None:
+        """The file of a name on the local file system, None on any other."""
+        uri = self._fs.makeQualified(self._path(f"{self.root}/{name}")).toUri()
+        return Path(uri.getPath()) if uri.getScheme() == "file" else None
+
     def _write(self, name: str, text: str) -> None:
-        """Write beside, then rename over: a reader never sees half a file."""
+        """Write beside, then rename over it in one step: a reader sees the old file or the new one, never none and never a part."""
+        if to := self._local(name):
+            to.parent.mkdir(parents=True, exist_ok=True)
+            tmp = to.with_name(f".{uuid.uuid4().hex}")
+            tmp.write_text(text, encoding="utf-8")
+            os.replace(tmp, to)
+            return
         tmp, to = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
         self._fs.mkdirs(to.getParent())
         stream = self._fs.create(tmp, True)
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
-        self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError(f"{name} could not be replaced")
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, to, over)
+
+    def _claim(self, name: str) -> bool:
+        """Create an empty file; False if there is one, so of several writers one gets it."""
+        try:
+            if to := self._local(name):
+                to.parent.mkdir(parents=True, exist_ok=True)
+                to.open("x").close()
+            else:
+                self._fs.create(self._path(f"{self.root}/{name}"), False).close()
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
 
     def _json(self, name: str, default):
         text = self._read(name)
@@ -60,10 +90,13 @@ class Store:
         return sorted(int(x.rsplit("-v", 1)[1]) for x in found if x.startswith(f"{name}-v") and x.rsplit("-v", 1)[1].isdigit() and self._fs.exists(self._path(f"{self.root}/{x}/_SUCCESS")))
 
     def write_version(self, df: DataFrame, name: str, partition_by: list[str] | None = None, schema: str | None = None) -> str:
-        """Write the next version and return its name. With a schema, unknown fields are refused. Nothing is published yet."""
+        """Write the next version that no other writer has claimed and return its name. With a schema, unknown fields are refused. Nothing is published yet."""
         if schema:
             check_strict(df.columns, schema)
-        version = f"{name}-v{max(self.versions(name), default=0) + 1}"
+        n = max(self.versions(name), default=0) + 1
+        while not self._claim(f"_claims/{name}-v{n}"):
+            n += 1
+        version = f"{name}-v{n}"
         df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.root}/{version}")
         return version
 
@@ -77,16 +110,44 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """The dataset behind an alias, or a version by its own name."""
+        parts = self._buckets(name)
+        if parts:
+            return self.spark.read.parquet(*(f"{self.root}/{p}" for p in parts.values()))
         return self.spark.read.parquet(f"{self.root}/{self.aliases().get(name, name)}")
 
+    def _buckets(self, alias: str) -> dict[int, str]:
+        return {int(k.rsplit("#", 1)[1]): v for k, v in self.aliases().items() if k.rsplit("#", 1)[0] == alias and "#" in k}
+
+    def merge_buckets(self, fresh: DataFrame, alias: str, keys: list[str], version: list[str], buckets: int = 64) -> list[int]:
+        """Merge rows into a dataset that lies in buckets of its keys, latest version wins; the buckets that were rewritten.
+
+        Only buckets that have a new row are read and written; all become visible in one step. The number of buckets is that
+        of the first merge.
+        """
+        from .state import upsert_latest
+
+        there = self._buckets(alias)
+        buckets = self._json(f"_buckets/{alias}.json", {"buckets": buckets})["buckets"]
+        at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = sorted(r[0] for r in fresh.select(at).distinct().collect())  # at most `buckets`
+        if not touched:
+            return []
+        old = [f"{self.root}/{there[i]}" for i in touched if i in there]
+        present = self.spark.read.schema(fresh.schema).parquet(*old) if old else fresh.limit(0)
+        merged = upsert_latest(present, fresh, keys, version).withColumn("_bucket", at)
+        v = self.write_version(merged.repartition("_bucket"), f"{alias}-buckets", ["_bucket"])
+        self._write(f"_buckets/{alias}.json", json.dumps({"buckets": buckets}))
+        self._write("_aliases.json", json.dumps(self.aliases() | {f"{alias}#{i}": f"{v}/_bucket={i}" for i in touched}, indent=1, sort_keys=True))
+        return touched
+
     def exists(self, name: str) -> bool:
-        return name in self.aliases() or bool(self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")))
+        return name in self.aliases() or bool(self._buckets(name)) or bool(self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")))
 
     def view(self, alias: str) -> None:
         self.read(alias).createOrReplaceTempView(alias.replace("-", "_"))
 
     def drop_version(self, version: str) -> None:
-        if version in self.aliases().values():
+        if any(v.split("/")[0] == version for v in self.aliases().values()):
             raise ValueError(f"{version} is published")
         self._fs.delete(self._path(f"{self.root}/{version}"), True)
 

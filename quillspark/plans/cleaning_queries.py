@@ -8,11 +8,11 @@ from ..functions import patterns as P
 from ..functions import text as TX
 from ..operators import cleaning as C
 from ..session import table as t
-from .scalar_queries import PARAGRAPHS, SQUEEZE
+from .scalar_queries import HTML, PARAGRAPHS, SQUEEZE, nfkc_sql
 
 
 def _paragraphs(s, d):
-    return C.paragraph_table(t(s, d, "episodes"), TX.squeeze(F.col("description")))
+    return C.paragraph_table(t(s, d, "episodes"), TX.clean_text(F.col("description")))
 
 
 def boilerplate_flags(s, d):
@@ -76,7 +76,8 @@ def _rules() -> str:
 
 _LANG = "CASE WHEN length(replace(coalesce(x, ''), ' ', '')) = 0 THEN 'unknown' WHEN length(regexp_replace(x, '[^一-鿿]', '', 'g')) / length(replace(x, ' ', '')) > 0.3 THEN 'zh' ELSE 'en' END"
 _PAR = f"""
-    eps AS (SELECT DISTINCT episode_id, show_id, description, {SQUEEZE.format(x='description')} AS x FROM episodes),
+    once AS (SELECT DISTINCT episode_id, show_id, description FROM episodes), raw AS (SELECT episode_id AS id, {HTML.format(x='description')} AS x FROM once), {nfkc_sql('raw')},
+    eps AS (SELECT episode_id, show_id, description, {SQUEEZE.format(x='x')} AS x FROM once JOIN composed ON composed.id = once.episode_id),
     par0 AS (SELECT episode_id, show_id, {_LANG} AS language, {PARAGRAPHS.format(x="coalesce(x, '')")} AS ps FROM eps),
     par AS (SELECT episode_id, show_id, language, CAST(unnest(range(len(ps))) AS INTEGER) AS n, unnest(ps) AS paragraph FROM par0)"""
 _NORM = r"trim(regexp_replace(regexp_replace(lower(paragraph), '[^\p{L}\p{N}_\s\p{Z}]', '', 'g'), '[\s\p{Z}]+', ' ', 'g'))"

@@ -52,7 +52,7 @@ def ndcg_grouped(s, d):
 
 
 def bootstrap_ci(s, d):
-    return E.bootstrap(_per_query(s, d), ["method"], "ndcg")
+    return E.bootstrap(_per_query(s, d), ["method"], "ndcg", ["query_id"])
 
 
 def topk_overlap(s, d):
@@ -116,7 +116,7 @@ def _scored(s, d):
     q = logged(s, d).where(F.col("query").isNotNull()).select("query", F.explode("result_ids").alias("doc_id")).distinct()
     words = S.corpus(s, d).select("doc_id", F.array_distinct(X.tokens(F.concat_ws(" ", "title", "description"))).alias("w"))
     asked = F.array_distinct(X.tokens(F.col("query")))
-    return q.join(words, "doc_id").select(F.col("query").alias("query_id"), "doc_id", F.round(F.size(F.array_intersect(asked, F.col("w"))) / F.greatest(F.size(asked), F.lit(1)) + F.least(F.size("w"), F.lit(900)) / 1000000.0, 6).alias("score"))
+    return q.join(words, "doc_id").select(F.col("query").alias("query_id"), "doc_id", F.round(F.size(F.array_intersect(asked, F.col("w"))) / F.greatest(F.size(asked), F.lit(1)) + F.size("w") / (F.size("w") + 1000.0) / 1000.0, 6).alias("score"))
 
 
 def labels_percentile(s, d):
@@ -126,7 +126,7 @@ def labels_percentile(s, d):
 def labels_small_pool(s, d):
     rows = _scored(s, d)
     small = rows.groupBy("query_id").count().where("count < 10").select("query_id")
-    return E.percentile_labels(rows.join(small, "query_id", "left_semi")).groupBy("label").agg(F.count("*").alias("n"))
+    return E.percentile_labels(rows.join(small, "query_id", "left_semi")).select("query_id", "doc_id", "label")
 
 
 def judgment_stats(s, d):
@@ -141,7 +141,7 @@ def incremental_annotation(s, d):
     new = E.percentile_labels(rows.join(old, ["query_id", "doc_id"], "left_anti"))
     kept = old.join(E.percentile_labels(rows.join(old, ["query_id", "doc_id"], "left_semi")), ["query_id", "doc_id"])
     both = kept.select("query_id", "doc_id", "label", F.lit("kept").alias("origin")).unionByName(new.select("query_id", "doc_id", "label", F.lit("new").alias("origin")))
-    return both.groupBy("origin", "label").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+    return both.select("query_id", "doc_id", "origin", "label")
 
 
 def clicks(s, d):
@@ -169,13 +169,13 @@ def first_click_rank(s, d):
 
 
 def reformulation_rate(s, d):
-    r = E.reformulations(logged(s, d).select("request_id", "query", "q_micros"), seconds=600)
+    r = E.reformulations(logged(s, d).select("request_id", "query", "q_micros"))
     return r.agg(F.count("*").alias("queries"), F.count_if("reformulated").alias("reformulations"), F.round(F.count_if("reformulated") / F.count("*"), 4).alias("rate"))
 
 
 def session_gap(s, d):
-    r = E.reformulations(logged(s, d).select("request_id", "query", "q_micros"), seconds=600)
-    return r.select("request_id", F.coalesce("gap_micros", F.lit(-1)).alias("gap_micros"), F.coalesce(F.col("gap_micros") <= 600_000_000, F.lit(False)).alias("same_session"))
+    r = E.reformulations(logged(s, d).select("request_id", "query", "q_micros"))
+    return r.select("request_id", F.coalesce("gap_micros", F.lit(-1)).alias("gap_micros"), F.coalesce(F.col("gap_micros") <= E.SESSION_SECONDS * 1_000_000, F.lit(False)).alias("same_session"))
 
 
 def regression_gate(s, d):
@@ -224,8 +224,14 @@ _RANKED = f"""{_Q}, ranked AS (SELECT *, 'show:apple:' || split_part(doc_id, ':'
     judg AS (SELECT request_id AS query_id, clicked_episode_id AS doc_id, max(CASE WHEN time_to_click_sec < 5 THEN 3 WHEN time_to_click_sec < 20 THEN 2 ELSE 1 END) AS rel FROM click_log GROUP BY ALL),
     rel AS (SELECT r.*, coalesce(j.rel, 0) AS rel, row_number() OVER (PARTITION BY r.query_id, r.method, r.language, r.category ORDER BY coalesce(j.rel, 0) DESC, r.rank) AS ideal FROM ranked r LEFT JOIN judg j ON j.query_id = r.query_id AND j.doc_id = r.doc_id WHERE r.rank <= 10),
     perq AS (SELECT query_id, method, language, category, CASE WHEN sum(rel) > 0 THEN sum(rel / log2(rank + 1)) / sum(rel / log2(ideal + 1)) ELSE 0.0 END AS ndcg, coalesce(1.0::DOUBLE / min(CASE WHEN rel >= 2 THEN rank END), 0.0) AS mrr FROM rel GROUP BY ALL)"""
-_ISO = "CASE WHEN regexp_full_match(timestamp, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{1,6})?([+-]\\d{2}:\\d{2}|Z)') THEN epoch_us(TRY_CAST(timestamp AS TIMESTAMPTZ)) END"
-_CLICKS = f"c AS (SELECT DISTINCT ON (request_id, clicked_rank) *, {_ISO} AS c_micros FROM click_log)"
+# The forms of click times: Unix time in s, ms or us, ISO forms with any zone or none (UTC), month first with AM or PM, RFC 2822.
+_PARTS = "regexp_extract(v, '^(\\d{4})-?(\\d{2})-?(\\d{2})[T ](\\d{2}):?(\\d{2}):?(\\d{2})(?:[.,](\\d{1,6})\\d*)? ?(.*)$', ['y', 'mo', 'd', 'h', 'mi', 's', 'f', 'z'])"
+_ZONE = "CASE WHEN p.z IN ('', 'Z', 'UTC', '[UTC]') THEN '+00' WHEN regexp_full_match(p.z, '[+-]\\d{2}:?\\d{2}') THEN left(p.z, 3) || ':' || right(p.z, 2) ELSE ' ' || trim(p.z, '[]') END"
+_INSTANT = f"""CASE WHEN regexp_full_match(v, '\\d{{10}}') THEN CAST(v AS BIGINT) * 1000000 WHEN regexp_full_match(v, '\\d{{13}}') THEN CAST(v AS BIGINT) * 1000 WHEN regexp_full_match(v, '\\d{{16}}') THEN CAST(v AS BIGINT)
+    WHEN regexp_full_match(v, '\\d{{10}}\\.\\d+') THEN CAST(left(v, 10) AS BIGINT) * 1000000 + CAST(rpad(substring(v, 12, 6), 6, '0') AS BIGINT)
+    WHEN p.y <> '' THEN epoch_us(TRY_CAST(p.y || '-' || p.mo || '-' || p.d || ' ' || p.h || ':' || p.mi || ':' || p.s || '.' || rpad(p.f, 6, '0') || {_ZONE} AS TIMESTAMPTZ))
+    ELSE coalesce(epoch_us(try_strptime(v, '%a, %d %b %Y %H:%M:%S %z')), epoch_us(try_strptime(v, '%m/%d/%Y %I:%M %p'))) END"""
+_CLICKS = f"c AS (SELECT DISTINCT ON (request_id, clicked_rank) *, {_INSTANT} AS c_micros FROM (SELECT *, {_PARTS} AS p FROM (SELECT *, trim(replace(timestamp, chr(9), ' ')) AS v FROM click_log)))"
 _VALID = f"{_Q}, {_CLICKS}, valid AS (SELECT c.*, q.mode FROM c JOIN q ON q.request_id = c.request_id WHERE coalesce(c.c_micros, 0) - coalesce(q.q_micros, 0) BETWEEN 0 AND 30000000)"
 _GAPS = f"{_Q}, gaps AS (SELECT request_id, query, q_micros - lag(q_micros) OVER w AS gap, lag(query) OVER w AS before, lag(q_micros) OVER w IS NULL AS is_first FROM q WINDOW w AS (ORDER BY q_micros, request_id))"
 _LAT = """SELECT coalesce(query_lang, 'none') AS language, mode, count(*) AS n, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, round(avg(latency_ms), 2) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 2) AS p50_ms,
@@ -240,7 +246,7 @@ _JAC = lambda a, b: f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len
 _MINUS = lambda a, b: f"list_filter({a}, lambda z: NOT list_contains({b}, z))"
 _SCORED = f"""docs AS (SELECT DISTINCT episode_id AS doc_id, title, description FROM episodes), w AS (SELECT doc_id, list_distinct({S.TOK.format(x="concat_ws(' ', title, description)")}) AS w FROM docs),
     asked AS (SELECT p.query, p.doc_id, list_distinct({S.TOK.format(x="p.query")}) AS a, w.w FROM (SELECT DISTINCT query, unnest(result_ids) AS doc_id FROM query_log WHERE query IS NOT NULL) p JOIN w ON w.doc_id = p.doc_id),
-    scored AS (SELECT query AS query_id, doc_id, round(len(list_intersect(a, w)) / greatest(len(a), 1) + least(len(w), 900) / 1000000.0::DOUBLE, 6) AS score FROM asked)"""
+    scored AS (SELECT query AS query_id, doc_id, round(len(list_intersect(a, w)) / greatest(len(a), 1) + len(w) / (len(w) + 1000.0::DOUBLE) / 1000.0::DOUBLE, 6) AS score FROM asked)"""
 
 
 def _labels(source: str, name: str) -> str:
@@ -281,8 +287,8 @@ SQL = {
     "search_success_rate": f"WITH {_VALID}, hit AS (SELECT DISTINCT request_id FROM valid) SELECT q.mode, count(*) AS queries, count(h.request_id) AS successful, round(count(h.request_id) / count(*), 4) AS rate FROM q LEFT JOIN hit h ON h.request_id = q.request_id GROUP BY q.mode",
     "same_language_clicks": f"WITH {_Q}, {_CLICKS} SELECT c.selected_lang, count(*) AS clicks, count(*) FILTER (WHERE c.clicked_language = coalesce(q.query_lang, '')) AS same, round(count(*) FILTER (WHERE c.clicked_language = coalesce(q.query_lang, '')) / count(*), 4) AS rate FROM c LEFT JOIN q ON q.request_id = c.request_id GROUP BY c.selected_lang",
     "first_click_rank": f"WITH {_VALID}, f AS (SELECT request_id, clicked_rank, row_number() OVER (PARTITION BY request_id ORDER BY coalesce(c_micros, 0), clicked_rank) AS r FROM valid) SELECT count(*) AS requests, round(coalesce(avg(clicked_rank), 0.0), 2) AS mean_rank FROM f WHERE r = 1",
-    "reformulation_rate": f"WITH {_GAPS} SELECT count(*) AS queries, count(*) FILTER (WHERE gap <= 600000000 AND query IS DISTINCT FROM before) AS reformulations, round(count(*) FILTER (WHERE gap <= 600000000 AND query IS DISTINCT FROM before) / count(*), 4) AS rate FROM gaps",
-    "session_gap": f"WITH {_GAPS} SELECT request_id, coalesce(gap, -1) AS gap_micros, coalesce(gap <= 600000000, false) AS same_session FROM gaps",
+    "reformulation_rate": f"WITH {_GAPS} SELECT count(*) AS queries, count(*) FILTER (WHERE gap <= 30000000 AND query IS DISTINCT FROM before) AS reformulations, round(count(*) FILTER (WHERE gap <= 30000000 AND query IS DISTINCT FROM before) / count(*), 4) AS rate FROM gaps",
+    "session_gap": f"WITH {_GAPS} SELECT request_id, coalesce(gap, -1) AS gap_micros, coalesce(gap <= 30000000, false) AS same_session FROM gaps",
     "regression_gate": f"WITH {_RANKED}, {_RGATE} SELECT language, method, round(ndcg, 6) AS ndcg, gate, status FROM rgate",
     "routing_confusion": """WITH e AS (SELECT DISTINCT episode_id, description, target_index FROM episodes), p AS (SELECT CASE WHEN description IS NULL THEN NULL WHEN length(replace(description, ' ', '')) > 0 AND length(regexp_replace(description, '[^一-鿿]', '', 'g')) / length(replace(description, ' ', '')) > 0.3 THEN 'zh' ELSE 'other' END AS truth,
             CASE WHEN target_index LIKE 'podcast-episodes-zh%' THEN 'zh' WHEN target_index = 'podcast-episodes-en' THEN 'other' END AS predicted FROM e), k AS (SELECT truth, predicted, count(*) AS n FROM p WHERE truth IS NOT NULL AND predicted IS NOT NULL GROUP BY ALL),
@@ -301,11 +307,11 @@ SQL |= {
     "no_annotation_summary": f"""WITH {_RANKED}, {_DOM}, {_INTR}, a AS (SELECT avg(dominance) AS d FROM dom), b AS (SELECT avg(intrusion) AS i FROM intr), c AS (WITH {_STAB} SELECT avg(stability) AS s FROM stab)
         SELECT round(d, 4) AS dominance, round(i, 4) AS intrusion, round(s, 4) AS stability, i < 0.1 AND d < 0.5 AND s > 0.7 AS passed FROM a, b, c""",
     "labels_percentile": f"WITH {_SCORED}, {_labels('scored', 'lab')} SELECT query_id, doc_id, score, label FROM lab",
-    "labels_small_pool": f"WITH {_SCORED}, {_labels('scored', 'lab')} SELECT label, count(*) AS n FROM lab WHERE n < 10 GROUP BY label",
+    "labels_small_pool": f"WITH {_SCORED}, {_labels('scored', 'lab')} SELECT query_id, doc_id, label FROM lab WHERE n < 10",
     "judgment_stats": f"""WITH {_SCORED}, {_labels('scored', 'lab')} SELECT count(*) AS pairs, count(*) FILTER (WHERE label = 0) AS label_0, count(*) FILTER (WHERE label = 1) AS label_1, count(*) FILTER (WHERE label = 2) AS label_2, count(*) FILTER (WHERE label = 3) AS label_3,
         round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round((SELECT avg(v) FROM (SELECT var_pop(score) AS v FROM lab GROUP BY query_id)), 6) AS mean_variance FROM lab""",
     "incremental_annotation": f"""WITH {_SCORED}, oldp AS (SELECT * FROM scored WHERE {_OLD}), newp AS (SELECT * FROM scored WHERE NOT {_OLD}), {_labels('oldp', 'a')}, {_labels('newp', 'b')}
-        SELECT origin, label, count(*) AS n, count(DISTINCT query_id) AS queries FROM (SELECT 'kept' AS origin, query_id, label FROM a UNION ALL SELECT 'new', query_id, label FROM b) GROUP BY ALL""",
+        SELECT query_id, doc_id, 'kept' AS origin, label FROM a UNION ALL SELECT query_id, doc_id, 'new', label FROM b""",
 }
 ROWS_ONLY = ("bootstrap_ci",)
 QUERIES = {k: globals()[k] for k in (*SQL, *ROWS_ONLY)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -70,15 +72,15 @@ def json_decode(s, d):
 
 
 def html_to_text(s, d):
-    return t(s, d, "episodes").where(F.col("description").isNotNull()).select("episode_id", TX.strip_html(F.col("description")).alias("text")).distinct()
+    return t(s, d, "episodes").where(F.col("description").isNotNull()).select("episode_id", TX.html_text(F.col("description")).alias("text")).distinct()
 
 
 def normalize_text(s, d):
-    return t(s, d, "episodes").where(F.col("description").isNotNull()).select("episode_id", TX.squeeze(F.col("description")).alias("text")).distinct()
+    return t(s, d, "episodes").where(F.col("description").isNotNull()).select("episode_id", TX.normalize(F.col("description")).alias("text")).distinct()
 
 
 def split_paragraphs(s, d):
-    return t(s, d, "episodes").select("episode_id", F.posexplode(TX.paragraphs(TX.squeeze(F.col("description")))).alias("n", "paragraph")).distinct()
+    return t(s, d, "episodes").select("episode_id", F.posexplode(TX.paragraphs(TX.clean_text(F.col("description")))).alias("n", "paragraph")).distinct()
 
 
 def detect_language(s, d):
@@ -86,6 +88,26 @@ def detect_language(s, d):
     return e.groupBy("language").agg(F.count("*").alias("episodes"))
 
 
+def _compatible() -> str:
+    """(c, t): the compatibility decomposition of each character that has one, from the Unicode data; canonical ones are left to NFC."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    codes = (c for c in (*range(0xA0, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)) if unicodedata.normalize("NFKD", chr(c)) != unicodedata.normalize("NFD", chr(c)))
+    return ", ".join(f"({q(chr(c))}, {q(unicodedata.normalize('NFKD', chr(c)))})" for c in codes)
+
+
+def nfkc_sql(source: str, name: str = "composed") -> str:
+    """CTEs up to `name`(id, x): NFKC of source(id, x), whose id is unique: characters mapped by a join, put together again and composed."""
+    return f"""compatible(c, t) AS (VALUES {_compatible()}),
+    plain AS (SELECT id, x FROM {source} WHERE x IS NULL OR regexp_full_match(x, '[\\x00-\\x7f]*')),
+    chars AS (SELECT id, i, substring(x, i, 1) AS c FROM (SELECT id, x, unnest(range(1, CAST(length(x) + 1 AS INTEGER))) AS i FROM {source} WHERE NOT regexp_full_match(x, '[\\x00-\\x7f]*'))),
+    {name} AS (SELECT id, x FROM plain UNION ALL SELECT id, nfc_normalize(string_agg(coalesce(m.t, s.c), '' ORDER BY s.i)) AS x FROM chars s LEFT JOIN compatible m ON m.c = s.c GROUP BY id)"""
+
+
+HTML = (
+    "CASE WHEN {x} IS NULL OR NOT regexp_matches({x}, '<|&[#\\w]') THEN {x} ELSE array_to_string(list_filter(regexp_split_to_array("
+    "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+    ", '<[A-Za-z/!][^>]*>'), lambda n: n <> ''), chr(10)) END"
+)
 SQUEEZE = "array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({x}, '[\\x00-\\x09\\x0b-\\x1f\\x7f]', '', 'g'), '[ \\x{{00a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{0085}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda l: trim(l)), chr(10))"
 PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array({x}, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
 ALIAS = "CASE target_index WHEN 'podcast-episodes-zh-tw' THEN 'episodes-zh-tw' WHEN 'podcast-episodes-zh-cn' THEN 'episodes-zh-cn' WHEN 'podcast-episodes-en' THEN 'episodes-en' END"
@@ -113,10 +135,10 @@ SQL = {
     "json_decode": """SELECT show_id, CASE WHEN json_valid(image) AND json_type(image) = 'OBJECT' THEN image ->> '$.url' END AS image_url,
         CASE WHEN json_valid(categories) AND json_type(categories) = 'ARRAY' THEN array_to_string(CAST(json_extract_string(categories, '$[*]') AS VARCHAR[]), '|') ELSE '' END AS categories,
         CASE WHEN json_valid(external_urls) AND json_type(external_urls) = 'OBJECT' THEN external_urls ->> '$.apple' END AS apple_url FROM shows""",
-    "html_to_text": """SELECT DISTINCT episode_id, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(replace(description, '&amp;', '&'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'g'), '</?[A-Za-z][^>]*>', chr(10), 'g'), chr(10)), lambda l: true), chr(10)) AS text FROM episodes WHERE description IS NOT NULL""",
-    "normalize_text": f"SELECT DISTINCT episode_id, {SQUEEZE.format(x='description')} AS text FROM episodes WHERE description IS NOT NULL",
-    "split_paragraphs": f"""SELECT DISTINCT episode_id, CAST(n AS INTEGER) AS n, p[n + 1] AS paragraph FROM (SELECT episode_id, p, unnest(range(len(p))) AS n FROM (
-        SELECT episode_id, {PARAGRAPHS.format(x=SQUEEZE.format(x='description'))} AS p FROM episodes WHERE description IS NOT NULL))""",
+    "html_to_text": f"SELECT DISTINCT episode_id, {HTML.format(x='description')} AS text FROM episodes WHERE description IS NOT NULL",
+    "normalize_text": f"WITH raw AS (SELECT DISTINCT episode_id AS id, description AS x FROM episodes WHERE description IS NOT NULL), {nfkc_sql('raw')} SELECT id AS episode_id, {SQUEEZE.format(x='x')} AS text FROM composed",
+    "split_paragraphs": f"""WITH raw AS (SELECT DISTINCT episode_id AS id, {HTML.format(x='description')} AS x FROM episodes WHERE description IS NOT NULL), {nfkc_sql('raw')}
+        SELECT DISTINCT id AS episode_id, CAST(n AS INTEGER) AS n, p[n + 1] AS paragraph FROM (SELECT id, p, unnest(range(len(p))) AS n FROM (SELECT id, {PARAGRAPHS.format(x=SQUEEZE.format(x='x'))} AS p FROM composed))""",
     "detect_language": """SELECT language, count(*) AS episodes FROM (SELECT DISTINCT episode_id, CASE WHEN length(replace(coalesce(description, ''), ' ', '')) = 0 THEN 'unknown'
         WHEN length(regexp_replace(description, '[^一-鿿]', '', 'g')) / length(replace(description, ' ', '')) > 0.3 THEN 'zh' ELSE 'en' END AS language FROM episodes) GROUP BY language""",
 }

@@ -49,18 +49,18 @@ def sync_upsert(s, d):
     key = [F.lit("episode").alias("entity_type"), F.col("episode_id").alias("entity_id"), F.lit("default").alias("environment")]
     old = t(s, d, "cleaned_episodes").select(*key, X.route(F.col("target_index")).alias("index_alias"), F.lit("stale").alias("sync_status"), F.lit("2024-01-01").alias("last_synced_at")).distinct()
     new = _episodes(s, d).where(F.col("target_index").isNotNull()).select(*key, X.route(F.col("target_index")).alias("index_alias"), F.lit("new").alias("sync_status"), F.lit("2025-01-01").alias("last_synced_at"))
-    return ST.sync_upsert(old, new).groupBy("index_alias", "sync_status", "last_synced_at").agg(F.count("*").alias("n"))
+    return ST.sync_upsert(old, new).select("entity_id", "index_alias", "sync_status", "last_synced_at")
 
 
 def status_update(s, d):
     base = _status(s, d).withColumn("embedding_status", F.lit("pending"))
     done = t(s, d, "episode_vectors").where(F.col("embedding").isNotNull())
-    return ST.mark_status(base, done, {"embedding_status": F.lit("done"), "last_embedded_at": F.lit("2025-06-01")}).groupBy("embedding_status", "last_embedded_at").agg(F.count("*").alias("n"))
+    return ST.mark_status(base, done, {"embedding_status": F.lit("done"), "last_embedded_at": F.lit("2025-06-01")}).select("episode_id", "embedding_status", "last_embedded_at")
 
 
 def skip_existing(s, d):
     rows = _episodes(s, d).select("episode_id", F.col("description").alias("text"))
-    return ST.skip_existing(rows, t(s, d, "cleaned_episodes"), "episode_id").groupBy("outcome").agg(F.count("*").alias("n"))
+    return ST.skip_existing(rows, t(s, d, "cleaned_episodes"), "episode_id").select("episode_id", "outcome")
 
 
 def cache_join(s, d):
@@ -70,11 +70,11 @@ def cache_join(s, d):
 
 def embed_plan(s, d):
     p = ST.embed_plan(_episodes(s, d).select("episode_id", "show_id", "target_index"), _shows(s, d), t(s, d, "episode_vectors"), IDENTITY)
-    return p.groupBy("action", "language").agg(F.count("*").alias("n"))
+    return p.select("episode_id", "action", "language")
 
 
 def identity_drift(s, d):
-    return ST.identity_drift(t(s, d, "episode_vectors").dropDuplicates(["vec_id"]), IDENTITY).groupBy("drift", "parse_state").agg(F.count("*").alias("n"))
+    return ST.identity_drift(t(s, d, "episode_vectors").dropDuplicates(["vec_id"]), IDENTITY).select("vec_id", "drift", "parse_state")
 
 
 def _drift(s, d):
@@ -83,7 +83,7 @@ def _drift(s, d):
 
 
 def drift_report(s, d):
-    return _drift(s, d).groupBy("drift").agg(F.count("*").alias("episodes"), F.countDistinct("show_id").alias("shows"))
+    return _drift(s, d).select("episode_id", "show_id", "drift")
 
 
 def show_impact_topn(s, d):
@@ -102,11 +102,11 @@ def resolve_selection(s, d):
 
 def _classified(s, d):
     cache = t(s, d, "episode_vectors").select("show_id", "episode_id", "model_name", "embedding_version", "embedding_dimensions", "embedding", F.lit(True).alias("readable"))
-    return ST.backfill_categories(_status(s, d), cache.where(F.substring(F.md5("show_id"), 1, 1) != "1"), 384)
+    return ST.backfill_categories(_status(s, d), cache, 384)
 
 
 def backfill_classify(s, d):
-    return _classified(s, d).groupBy("category", "class", "target_status").agg(F.count("*").alias("n"))
+    return _classified(s, d).select("episode_id", "category", "class", "target_status")
 
 
 def backfill_apply_plan(s, d):
@@ -142,7 +142,7 @@ _CACHE = "CASE WHEN l.vec_id IS NULL THEN 'miss' WHEN l.model_name = 'waveembed-
 _DRIFT = f"""{_ST}, ids AS (SELECT * FROM (VALUES ('en', 'waveembed-multi-384', 'text-v1'), ('zh-tw', 'waveembed-multi-384', 'text-v2'), ('zh-cn', 'other-model', 'text-v1')) i(language, model, version)),
     drift AS (SELECT s.*, CASE WHEN i.model IS NULL THEN 'unresolvable' WHEN s.embedding_model <> i.model AND split_part(s.embedding_version, '/', -1) IS DISTINCT FROM i.version THEN 'multiple' WHEN s.embedding_model <> i.model THEN 'model_mismatch'
         WHEN split_part(s.embedding_version, '/', -1) IS DISTINCT FROM i.version THEN 'version_mismatch' ELSE 'ok' END AS drift FROM status s LEFT JOIN shows sh ON sh.show_id = s.show_id LEFT JOIN ids i ON i.language = {_LANG('sh.target_index')} WHERE s.embedding_model IS NOT NULL)"""
-_BACK = f"""{_ST}, c AS (SELECT *, split_part(embedding_version, '/', -1) AS ver FROM episode_vectors WHERE substring(md5(show_id), 1, 1) <> '1'), files AS (SELECT show_id, model_name, ver, max(embedding_dimensions) AS dims FROM c GROUP BY ALL),
+_BACK = f"""{_ST}, c AS (SELECT *, split_part(embedding_version, '/', -1) AS ver FROM episode_vectors), files AS (SELECT show_id, model_name, ver, max(embedding_dimensions) AS dims FROM c GROUP BY ALL),
     ent AS (SELECT DISTINCT show_id, model_name, ver, episode_id FROM c WHERE embedding IS NOT NULL),
     cls AS (SELECT s.*, CASE WHEN coalesce(s.embedding_model, '') = '' AND coalesce(s.embedding_version, '') = '' AND coalesce(s.last_embedded_at, '') = '' THEN 'neutral_metadata_absent' WHEN coalesce(s.embedding_model, '') = '' OR coalesce(s.embedding_version, '') = '' THEN 'anomaly_partial_metadata'
         WHEN f.show_id IS NULL THEN 'anomaly_cache_missing' WHEN f.dims IS DISTINCT FROM 384 THEN 'fail_payload_identity_mismatch' WHEN n.episode_id IS NULL THEN 'fail_episode_entry_missing' ELSE 'pass' END AS category
@@ -154,18 +154,18 @@ SQL = {
     "upsert_latest": "SELECT episode_id, vec_id, epoch_us(embedded_at) AS at FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY embedded_at DESC, vec_id DESC) AS r FROM episode_vectors) WHERE r = 1",
     "partial_update": f"WITH {_E}, o AS (SELECT DISTINCT ON (episode_id) episode_id, cleaned.normalized.title AS title, cleaned.normalized.description AS description, cleaning_meta.cleaned_at AS created_at FROM cleaned_episodes) SELECT coalesce(e.episode_id, o.episode_id) AS episode_id, coalesce(e.title, o.title) AS title, coalesce(e.description, o.description) AS description, coalesce(o.created_at, CASE WHEN e.episode_id IS NOT NULL THEN '2025-06-01' END) AS created_at FROM e FULL JOIN o ON o.episode_id = e.episode_id",
     "sync_upsert": f"""WITH {_E}, o AS (SELECT DISTINCT episode_id, {ALIAS} AS index_alias FROM cleaned_episodes), n AS (SELECT episode_id, {ALIAS} AS index_alias FROM e WHERE target_index IS NOT NULL)
-        SELECT index_alias, sync_status, last_synced_at, count(*) AS n FROM (SELECT index_alias, 'synced' AS sync_status, '2025-01-01' AS last_synced_at FROM n UNION ALL SELECT index_alias, 'stale', '2024-01-01' FROM o WHERE episode_id NOT IN (SELECT episode_id FROM n)) GROUP BY ALL""",
-    "status_update": f"WITH {_ST}, d AS (SELECT DISTINCT episode_id FROM episode_vectors WHERE embedding IS NOT NULL) SELECT CASE WHEN d.episode_id IS NOT NULL THEN 'done' ELSE 'pending' END AS embedding_status, CASE WHEN d.episode_id IS NOT NULL THEN '2025-06-01' ELSE s.last_embedded_at END AS last_embedded_at, count(*) AS n FROM status s LEFT JOIN d ON d.episode_id = s.episode_id GROUP BY ALL",
-    "skip_existing": f"WITH {_E} SELECT CASE WHEN episode_id IN (SELECT episode_id FROM cleaned_episodes) THEN 'skipped' WHEN trim(coalesce(description, '')) = '' THEN 'filtered' ELSE 'written' END AS outcome, count(*) AS n FROM e GROUP BY ALL",
+        SELECT episode_id AS entity_id, index_alias, 'synced' AS sync_status, '2025-01-01' AS last_synced_at FROM n UNION ALL SELECT episode_id, index_alias, 'stale', '2024-01-01' FROM o WHERE episode_id NOT IN (SELECT episode_id FROM n)""",
+    "status_update": f"WITH {_ST}, d AS (SELECT DISTINCT episode_id FROM episode_vectors WHERE embedding IS NOT NULL) SELECT s.episode_id, CASE WHEN d.episode_id IS NOT NULL THEN 'done' ELSE 'pending' END AS embedding_status, CASE WHEN d.episode_id IS NOT NULL THEN '2025-06-01' ELSE s.last_embedded_at END AS last_embedded_at FROM status s LEFT JOIN d ON d.episode_id = s.episode_id",
+    "skip_existing": f"WITH {_E} SELECT episode_id, CASE WHEN episode_id IN (SELECT episode_id FROM cleaned_episodes) THEN 'skipped' WHEN trim(coalesce(description, '')) = '' THEN 'filtered' ELSE 'written' END AS outcome FROM e",
     "cache_join": f"WITH {_E}, {_L}, x AS (SELECT e.show_id, {_CACHE} AS c FROM e LEFT JOIN l ON l.episode_id = e.episode_id) SELECT show_id, count(*) FILTER (WHERE c = 'hit') AS hit, count(*) FILTER (WHERE c = 'miss') AS miss, count(*) FILTER (WHERE c = 'mismatch') AS mismatch FROM x GROUP BY show_id",
-    "embed_plan": f"WITH {_E}, {_L} SELECT CASE WHEN s.target_index IS NULL THEN 'excluded' WHEN {_CACHE} = 'hit' THEN 'skipped' ELSE 'embed' END AS action, coalesce({_LANG('s.target_index')}, {_LANG('e.target_index')}) AS language, count(*) AS n FROM e LEFT JOIN shows s ON s.show_id = e.show_id LEFT JOIN l ON l.episode_id = e.episode_id GROUP BY ALL",
+    "embed_plan": f"WITH {_E}, {_L} SELECT e.episode_id, CASE WHEN s.target_index IS NULL THEN 'excluded' WHEN {_CACHE} = 'hit' THEN 'skipped' ELSE 'embed' END AS action, coalesce({_LANG('s.target_index')}, {_LANG('e.target_index')}) AS language FROM e LEFT JOIN shows s ON s.show_id = e.show_id LEFT JOIN l ON l.episode_id = e.episode_id",
     "identity_drift": f"""WITH {_V}, k AS (SELECT *, list_filter([CASE WHEN model_name IS DISTINCT FROM 'waveembed-multi-384' THEN 'model_mismatch' END, CASE WHEN embedding_version IS DISTINCT FROM 'text-v1' THEN 'version_mismatch' END, CASE WHEN embedding_dimensions IS DISTINCT FROM 384 THEN 'dimension_mismatch' END, CASE WHEN len(embedding) <> embedding_dimensions THEN 'vector_length_mismatch' END], lambda z: z IS NOT NULL) AS ks FROM v)
-        SELECT CASE WHEN len(ks) = 1 THEN ks[1] WHEN len(ks) > 1 THEN 'multiple' END AS drift, CASE WHEN model_name IS NULL THEN 'missing_model' WHEN embedding_version IS NULL THEN 'missing_version' WHEN embedding_dimensions IS NULL THEN 'missing_dims' WHEN embedding IS NULL THEN 'empty_episodes' ELSE 'ok' END AS parse_state, count(*) AS n FROM k GROUP BY ALL""",
-    "drift_report": f"WITH {_DRIFT} SELECT drift, count(*) AS episodes, count(DISTINCT show_id) AS shows FROM drift GROUP BY drift",
+        SELECT vec_id, CASE WHEN len(ks) = 1 THEN ks[1] WHEN len(ks) > 1 THEN 'multiple' END AS drift, CASE WHEN model_name IS NULL THEN 'missing_model' WHEN embedding_version IS NULL THEN 'missing_version' WHEN embedding_dimensions IS NULL THEN 'missing_dims' WHEN embedding IS NULL THEN 'empty_episodes' ELSE 'ok' END AS parse_state FROM k""",
+    "drift_report": f"WITH {_DRIFT} SELECT episode_id, show_id, drift FROM drift",
     "show_impact_topn": f"WITH {_DRIFT} SELECT show_id, count(*) AS episodes FROM drift WHERE drift NOT IN ('ok', 'unresolvable') GROUP BY show_id ORDER BY episodes DESC, show_id LIMIT 10",
     "sync_distribution": f"WITH {_ST} SELECT embedding_model, split_part(embedding_version, '/', -1) AS version, embedding_status, count(*) AS n FROM status GROUP BY ALL",
     "resolve_selection": f"WITH {_E}, ids AS (SELECT DISTINCT clicked_episode_id AS episode_id FROM click_log), r AS (SELECT i.episode_id, e.show_id, {_LANG('s.target_index')} AS language FROM ids i LEFT JOIN e ON e.episode_id = i.episode_id LEFT JOIN shows s ON s.show_id = e.show_id) SELECT language IS NOT NULL AS resolved, language, count(*) AS episodes, count(DISTINCT show_id) AS shows FROM r GROUP BY ALL",
-    "backfill_classify": f"WITH {_BACK} SELECT category, class, target_status, count(*) AS n FROM cl2 GROUP BY ALL",
+    "backfill_classify": f"WITH {_BACK} SELECT episode_id, category, class, target_status FROM cl2",
     "backfill_apply_plan": f"""WITH {_BACK}, s AS (SELECT count(*) AS episodes, count(*) FILTER (WHERE class = 'normal') AS normal, count(*) FILTER (WHERE class = 'anomaly') AS anomaly, count(*) FILTER (WHERE class = 'hard_fail') AS hard_fail,
         round(coalesce(100.0::DOUBLE * count(*) FILTER (WHERE category = 'anomaly_cache_missing') / nullif(count(*) FILTER (WHERE category NOT IN ('neutral_metadata_absent', 'anomaly_partial_metadata')), 0), 0.0), 4) AS missing_percent FROM cl2)
         SELECT *, CASE WHEN hard_fail > 0 THEN 'blocked_hard' WHEN missing_percent > 10 THEN 'blocked_anomaly' ELSE 'apply' END AS decision FROM s""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,18 +46,36 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of this process only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one of this process, on a local master only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-ckpt-"))
     return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written as a compressed table in the shared folder and read again, so that a lost executor loses none of them."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """The rows written as a compressed table in the shared folder and read again, so that a lost executor loses none of them.
+
+    The tables stay until `release_cuts`, since plans that were built on them may still run.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._quillspark_cuts = [*getattr(spark.sparkContext, "_quillspark_cuts", []), path]
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_cuts(spark: SparkSession) -> int:
+    """Delete the tables that `cut_lineage` wrote for this session, once the results built on them are written; how many there were."""
+    paths = getattr(spark.sparkContext, "_quillspark_cuts", [])
+    spark.sparkContext._quillspark_cuts = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def free_name(taken: Iterable[str], wanted: str) -> str:

@@ -34,13 +34,13 @@ def traffic(queries: DataFrame, window: str = "1 hour", late: str = "10 minutes"
     return once.groupBy(F.window("ts", window).alias("w"), "mode").agg(F.count("*").alias("queries"), F.count_if(F.col("result_count") == 0).alias("empty")).select(F.col("w.start").alias("start"), "mode", "queries", "empty")
 
 
-def upsert_stream(stream: DataFrame, store, alias: str, keys: list[str], version: list[str], checkpoint: str):
-    """Merge each micro-batch into the dataset behind an alias, latest version wins; a batch is published whole or not at all."""
-    from ..operators.state import upsert_latest
+def upsert_stream(stream: DataFrame, store, alias: str, keys: list[str], version: list[str], checkpoint: str, buckets: int = 64):
+    """Merge each micro-batch into the dataset behind an alias, latest version wins; a batch is published whole or not at all.
+
+    The dataset lies in buckets of its keys, and a batch rewrites those it touches.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates()
-        merged = upsert_latest(store.read(alias), fresh, keys, version) if store.exists(alias) else upsert_latest(fresh.limit(0), fresh, keys, version)
-        store.commit(merged, alias)
+        store.merge_buckets(batch.dropDuplicates(), alias, keys, version, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)

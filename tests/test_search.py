@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,5 +104,16 @@ def test_small_pools(spark):
 
 def test_bootstrap(spark):
     rows = spark.createDataFrame([("m", 0.5)] * 6 + [("few", 0.1)] * 4, "method string, ndcg double")
-    got = E.bootstrap(rows, ["method"], "ndcg", 200).collect()
+    got = E.bootstrap(rows.withColumn("id", F.monotonically_increasing_id()), ["method"], "ndcg", ["id"], 200).collect()
     assert [(r.method, r.low, r.high) for r in got] == [("m", pytest.approx(0.5), pytest.approx(0.5))]
+
+
+def test_bootstrap_does_not_depend_on_the_partitions(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, "m" if i % 3 else None, rng.random()) for i in range(300)] + [(999, "m", None)], "id int, method string, ndcg double")
+    got = {tuple(sorted((str(r.method), r.low, r.high) for r in E.bootstrap(rows.repartition(n, "ndcg"), ["method"], "ndcg", ["id"]).collect())) for n in (1, 3, 8)}
+    assert len(got) == 1
+    (m, low, high) = next(x for x in got.pop() if x[0] == "m")
+    values = [r.ndcg for r in rows.where("method = 'm' and ndcg is not null").collect()]
+    mean, sd = np.mean(values), np.std(values) / len(values) ** 0.5
+    assert abs(low - (mean - 1.96 * sd)) < 0.3 * sd and abs(high - (mean + 1.96 * sd)) < 0.3 * sd

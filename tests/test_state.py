@@ -226,3 +226,49 @@ def test_http_backend():
     backend = U.http_backend(f"http://127.0.0.1:{server.server_port}/", pause=0.01)
     assert backend(["abc"]).tolist() == [[3.0, 1.0]] and backend(["a", "bb"]).tolist() == [[1.0, 1.0], [2.0, 1.0]]
     server.shutdown()
+
+
+def test_buckets_are_rewritten_only_where_touched(spark, tmp_path):
+    store = sinks.Store(spark, str(tmp_path / "b"))
+    rows = spark.createDataFrame([(i, 1, "old") for i in range(100)], "id int, at int, v string")
+    assert len(store.merge_buckets(rows, "t", ["id"], ["at"], 8)) == 8
+    before = store._buckets("t")
+    touched = store.merge_buckets(spark.createDataFrame([(5, 2, "new"), (6, 0, "late"), (500, 1, "more")], rows.schema), "t", ["id"], ["at"], 99)
+    after = store._buckets("t")
+    assert {i for i in after if after[i] != before[i]} == set(touched) and len(touched) <= 3 and set(after) == set(range(8))
+    got = {r.id: r.v for r in store.read("t").collect()}
+    assert len(got) == 101 and (got[5], got[6], got[500], got[7]) == ("new", "old", "more", "old")
+    assert store.merge_buckets(rows.limit(0), "t", ["id"], ["at"]) == []
+
+
+def test_versions_are_claimed_and_the_manifest_is_never_gone(spark, tmp_path):
+    store = sinks.Store(spark, str(tmp_path / "c"))
+    df = spark.range(3)
+    store._claim("_claims/d-v1")
+    assert store.write_version(df, "d") == "d-v2"
+    store.publish("a", "d-v2")
+    seen = []
+    write = sinks.os.replace
+
+    def watched(src, dst):
+        seen.append(store.aliases())
+        write(src, dst)
+        seen.append(store.aliases())
+
+    sinks.os.replace = watched
+    try:
+        store.publish("b", "d-v2")
+    finally:
+        sinks.os.replace = write
+    assert seen == [{"a": "d-v2"}, {"a": "d-v2", "b": "d-v2"}]
+
+
+def test_cuts_are_released(spark):
+    from pathlib import Path
+
+    from quillspark import session
+
+    df = session.cut_lineage(spark.range(5))
+    path = Path(session.shared_folder(spark).removeprefix("file:"))
+    assert df.count() == 5 and list(path.glob("cut-*"))
+    assert session.release_cuts(spark) >= 1 and not list(path.glob("cut-*"))
