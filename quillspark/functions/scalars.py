@@ -35,6 +35,16 @@ def query_alias(language: Column) -> Column:
     return F.when(language == "zh-cn", F.lit("episodes-zh-cn")).when(language == "en", F.lit("episodes-en")).otherwise(F.lit("episodes-zh-tw"))
 
 
+def query_language(label: Column) -> Column:
+    """The language that a query's label searches in: mixed queries are routed to zh-tw, other labels stay."""
+    return F.when(label == "mixed", F.lit("zh-tw")).otherwise(label)
+
+
+def expected_identity(language: str) -> dict[str, object]:
+    """Model, version and length of the vectors of a language; a KeyError for one that has no model."""
+    return {"model": MODEL, "version": VERSION, "dims": DIMS} if language in LANGUAGES.values() else {}[language]
+
+
 def normalize_language(tag: Column) -> Column:
     """English variants en; zh-hans and zh-cn zh-hans; other zh tags zh-hant; else a two-letter primary tag; null otherwise."""
     t = F.lower(tag)
@@ -105,14 +115,13 @@ def tokens(text: Column) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    """Words of the Chinese field from those of the standard analyzer: pairs of neighbouring ideographs, and words without ideographs as they are.
+    """Words of the Chinese field from those of the standard analyzer, in their order: pairs of neighbouring ideographs, other words as they are.
 
-    `words` should be a plain column, since it is read several times.
+    `words` should be a plain column, since it is read twice.
     """
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, b))
-    two = F.filter(pairs, lambda x: F.regexp_like(x, F.lit(r"^[一-鿿]{2}$")))
-    return F.concat(two, F.filter(words, lambda x: ~F.regexp_like(x, F.lit(r"^[一-鿿]$"))))
+    one = lambda w: F.regexp_like(w, F.lit(r"^[一-鿿]$"))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(~one(a), a).when(one(b), F.concat(a, b)))
+    return F.array_compact(pairs)
 
 
 def prefixes(text: Column, least: int = 2, most: int = 20) -> Column:

@@ -92,6 +92,13 @@ def corpus_statistics(cleaned: DataFrame) -> DataFrame:
     return s.withColumn("removal_rate", pct(F.col("removed_paragraphs"), F.col("paragraphs"))).withColumn("char_reduction", pct(F.col("raw_chars") - F.col("kept_chars"), F.col("raw_chars")))
 
 
+def removal_breakdown(cleaned: DataFrame, breakdown: str = "removal_breakdown") -> DataFrame:
+    """(reason, paragraphs, percent): how many paragraphs each flag removed over the corpus, and its share of all removals (one decimal)."""
+    each = cleaned.select(F.explode(breakdown).alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("paragraphs"))
+    total = each.agg(F.sum("paragraphs").alias("_all"))
+    return each.join(F.broadcast(total)).select("reason", "paragraphs", F.round(100.0 * F.col("paragraphs") / F.col("_all"), 1).alias("percent"))
+
+
 def _hits(text: Column, patterns: list[str]) -> Column:
     return sum((F.regexp_count(text, F.lit(P.portable(p))) for p in patterns[1:]), F.regexp_count(text, F.lit(P.portable(patterns[0]))))
 

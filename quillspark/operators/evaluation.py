@@ -209,6 +209,49 @@ def confusion(pairs: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     return both.withColumn("precision", part("correct", "predicted_n")).withColumn("recall", part("correct", "n"))
 
 
+def index_health(coverage: DataFrame, rates: DataFrame, gates: dict[str, float] | None = None) -> DataFrame:
+    """Coverage of each index (alias, docs, embedding, image_url, description) with its rate of queries without a result (alias, queries, zero).
+
+    PASS or FAIL by the gates; N/A where no query was tested.
+    """
+    g = gates or HEALTH_GATES
+    passed = lambda c: F.when(c, "PASS").otherwise("FAIL")
+    rate = F.col("zero") / F.nullif(F.col("queries"), F.lit(0))
+    return coverage.join(rates, "alias").select(
+        "alias", "docs", "embedding", passed(F.col("embedding") >= g["embedding"]).alias("embedding_gate"), "image_url", passed(F.col("image_url") >= g["image_url"]).alias("image_url_gate"), "description",
+        F.round(rate, 4).alias("zero_rate"), F.when(F.col("queries") == 0, "N/A").otherwise(passed(rate <= g["zero_results"])).alias("zero_gate"),
+    )
+
+
+def routing_gates(matrix: DataFrame, gates: dict[str, float] | None = None) -> DataFrame:
+    """A confusion table with its confusion rate (what went elsewhere, of a class) and PASS or FAIL for each measure."""
+    g = gates or ROUTING_GATES
+    passed = lambda c: F.when(c, "PASS").otherwise("FAIL")
+    rate = F.coalesce((F.col("n") - F.col("correct")) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    return matrix.withColumn("confusion", rate).withColumns({
+        "precision_gate": passed(F.col("precision") >= g["precision"]), "recall_gate": passed(F.col("recall") >= g["recall"]), "confusion_gate": passed(F.col("confusion") <= g["confusion"]),
+    })
+
+
+def overlap_averages(compared: DataFrame) -> DataFrame:
+    """One row over `method_comparison`: means of the overlaps and of what one method found alone, and how often the fusion helped."""
+    avg = lambda c, n: F.round(F.avg(c), n).alias(f"avg_{c}")
+    a, b = F.col("hybrid_from_bm25"), F.col("hybrid_from_knn")
+    return compared.agg(
+        F.count("*").alias("queries"), *(avg(c, 4) for c in ("bm25_knn", "bm25_hybrid", "knn_hybrid")), *(avg(c, 2) for c in ("bm25_only", "knn_only", "in_both")),
+        F.count_if((a > 0) & (b > 0)).alias("hybrid_helps"), F.count_if(a > b).alias("bm25_better"), F.count_if(b > a).alias("knn_better"),
+    )
+
+
+def ingest_summary(documents: DataFrame, alias: str = "alias", language: str = "language", failed: str = "failed", limit: float = 0.05) -> DataFrame:
+    """One row: documents by index and by language (unknown for none), how many failed, the share without a language, and a warning above `limit`."""
+    lang = F.coalesce(F.col(language), F.lit("unknown"))
+    pairs = lambda c, name: documents.where(~F.col(failed)).groupBy(c.alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit("none")).alias("k"), "n")))).alias(name))
+    whole = documents.agg(F.count_if(~F.col(failed)).alias("succeeded"), F.count_if(F.col(failed)).alias("failed"), F.count_if(lang == "unknown").alias("_u"), F.count("*").alias("_n"))
+    rate = F.coalesce(F.col("_u") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0))
+    return whole.join(F.broadcast(pairs(F.col(alias), "indexes"))).join(F.broadcast(pairs(lang, "languages"))).select("indexes", "languages", "succeeded", "failed", F.round(rate, 4).alias("uncertain_rate"), (rate > limit).alias("warning"))
+
+
 def latency_statistics(runs: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
     v = F.col(value)
     return runs.groupBy(*keys).agg(

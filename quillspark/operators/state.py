@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import schema
 from ..functions import scalars as X
 
 # Categories of a status row, their class, and the status that each asks for (a hard failure asks for none).
@@ -40,6 +41,30 @@ def sync_upsert(state: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert_latest(state, fresh.select(*state.columns), ["entity_type", "entity_id", "environment"], ["last_synced_at"])
 
 
+def migrate_sync_state(state: DataFrame) -> DataFrame:
+    """Sync rows in their present form: rows without an environment are of the default one, columns that were added later are null.
+
+    A table that has the present columns comes out as it is; of rows that then share a key the latest stays.
+    """
+    kinds = [f.strip().split(" ") for f in schema.SYNC_STATE.split(",")]
+    there = set(state.columns)
+    cols = [F.col(c).cast(k).alias(c) if c in there else F.lit(None).cast(k).alias(c) for c, k in kinds]
+    rows = state.select(*cols).withColumns({"environment": F.coalesce("environment", F.lit("default")), "sync_status": F.coalesce("sync_status", F.lit("pending"))})
+    return upsert_latest(rows.limit(0), rows, ["entity_type", "entity_id", "environment"], ["last_synced_at"])
+
+
+def shows_with_feeds(shows: DataFrame, files: DataFrame) -> DataFrame:
+    """(show_id, path, state) of shows and feed files by name, where a colon of the id is an underscore: matched, no_feed or no_show.
+
+    `files` has a column `path`; a name that occurs in several folders matches with its first path.
+    """
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(xml|rss)$", "")
+    found = files.where(F.col("path").isNotNull()).groupBy(name.alias("_name")).agg(F.min("path").alias("path"))
+    named = shows.where(F.col("show_id").isNotNull()).select("show_id", F.replace("show_id", F.lit(":"), F.lit("_")).alias("_name")).distinct()
+    state = F.when(F.col("show_id").isNull(), "no_show").when(F.col("path").isNull(), "no_feed").otherwise("matched")
+    return named.join(found, "_name", "full").select("show_id", "path", state.alias("state"))
+
+
 def mark_status(status: DataFrame, done: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Status rows with new values for the episodes of `done` (by episode_id), the others as they are."""
     hit = done.select("episode_id").distinct().withColumn("_hit", F.lit(True))

@@ -35,6 +35,10 @@ def corpus_cleaning_stats(s, d):
     return C.corpus_statistics(C.clean_episodes(C.judged_paragraphs(_paragraphs(s, d))))
 
 
+def removal_breakdown(s, d):
+    return C.removal_breakdown(C.clean_episodes(C.judged_paragraphs(_paragraphs(s, d))))
+
+
 def extraneous_score(s, d):
     p = _paragraphs(s, d).where(F.col("paragraph").isNotNull()).select("episode_id", "n", C.extraneous_score(F.col("paragraph")).alias("x"))
     return p.select("episode_id", "n", F.round("x", 6).alias("score"), (F.round("x", 9) > P.EXTRANEOUS).alias("extraneous"))
@@ -119,4 +123,5 @@ SQL = {
 }
 _ZH = "(length(replace(paragraph, ' ', '')) > 0 AND length(regexp_replace(paragraph, '[^一-鿿]', '', 'g')) / length(replace(paragraph, ' ', '')) > 0.3)"
 SQL["extraneous_score"] = f"WITH {_PAR} SELECT episode_id, n, round(x, 6) AS score, round(x, 9) > 0.3 AS extraneous FROM (SELECT episode_id, n, least({_SCORE}, 1.0) AS x FROM (SELECT *, lower(paragraph) AS low, {_ZH} AS zh FROM par))"
+SQL["removal_breakdown"] = f"WITH {_PAR}, {_FREQ}, {_JUDGED}, r AS (SELECT f AS reason, count(*) AS paragraphs FROM (SELECT unnest(flags) AS f FROM flagged) GROUP BY f) SELECT reason, paragraphs, round(100.0::DOUBLE * paragraphs / sum(paragraphs) OVER (), 1) AS percent FROM r"
 QUERIES = {k: globals()[k] for k in SQL}

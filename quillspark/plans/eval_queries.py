@@ -103,6 +103,28 @@ def method_comparison(s, d):
     return m.withColumns({c: F.round(c, 4) for c in ("bm25_knn", "bm25_hybrid", "knn_hybrid")})
 
 
+def overlap_averages(s, d):
+    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    return E.overlap_averages(E.method_comparison(lex, sem, R.hybrid(lex, sem, S.corpus(s, d))))
+
+
+def method_metrics(s, d):
+    """The three methods, run, against judgments: a document of the query's own show is relevant, more so if its title shares a word."""
+    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    runs = {"bm25": lex, "knn": sem, "hybrid": R.hybrid(lex, sem, S.corpus(s, d))}
+    ranked = None
+    for name, found in runs.items():
+        part = found.where(F.col("rank") <= 10).select(F.col("query_id"), F.lit(name).alias("method"), "doc_id", "rank")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    show = lambda c: F.split_part(c, F.lit(":"), F.lit(3))
+    pairs = ranked.select("query_id", "doc_id").distinct()
+    titles = S.corpus(s, d).select("doc_id", F.array_distinct(X.tokens(F.col("title"))).alias("w"))
+    judged = pairs.join(titles, "doc_id").join(titles.select(F.col("doc_id").alias("query_id"), F.col("w").alias("q")), "query_id")
+    label = F.when(show(F.col("query_id")) == show(F.col("doc_id")), F.when(F.arrays_overlap("w", "q"), 3).otherwise(2)).otherwise(0)
+    m = E.ranking_metrics(ranked, judged.select("query_id", "doc_id", label.alias("relevance")), ["query_id", "method"])
+    return m.groupBy("method").agg(F.count("*").alias("queries"), F.round(F.avg("ndcg"), 4).alias("ndcg"), F.round(F.avg("mrr"), 4).alias("mrr"))
+
+
 def annotation_pool(s, d):
     lex, sem = S.lexical(s, d), S.semantic(s, d)
     top = lambda x: x.where(F.col("rank") <= 10)
@@ -196,6 +218,11 @@ def routing_confusion(s, d):
     return c.select("truth", "n", "correct", "predicted_n", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+def routing_gates(s, d):
+    g = E.routing_gates(E.confusion(_routes(s, d), ("zh", "other")))
+    return g.select("truth", F.round("confusion", 6).alias("confusion"), "precision_gate", "recall_gate", "confusion_gate")
+
+
 def latency_percentiles(s, d):
     return E.latency_statistics(logged(s, d).withColumn("language", F.coalesce("query_lang", F.lit("none"))), ["language", "mode"])
 
@@ -313,5 +340,13 @@ SQL |= {
     "incremental_annotation": f"""WITH {_SCORED}, oldp AS (SELECT * FROM scored WHERE {_OLD}), newp AS (SELECT * FROM scored WHERE NOT {_OLD}), {_labels('oldp', 'a')}, {_labels('newp', 'b')}
         SELECT query_id, doc_id, 'kept' AS origin, label FROM a UNION ALL SELECT query_id, doc_id, 'new', label FROM b""",
 }
+SQL["overlap_averages"] = f"WITH m AS ({SQL['method_comparison']}) SELECT count(*) AS queries, round(avg(bm25_knn), 4) AS avg_bm25_knn, round(avg(bm25_hybrid), 4) AS avg_bm25_hybrid, round(avg(knn_hybrid), 4) AS avg_knn_hybrid, round(avg(bm25_only), 2) AS avg_bm25_only, round(avg(knn_only), 2) AS avg_knn_only, round(avg(in_both), 2) AS avg_in_both, count(*) FILTER (WHERE hybrid_from_bm25 > 0 AND hybrid_from_knn > 0) AS hybrid_helps, count(*) FILTER (WHERE hybrid_from_bm25 > hybrid_from_knn) AS bm25_better, count(*) FILTER (WHERE hybrid_from_knn > hybrid_from_bm25) AS knn_better FROM m"
+SQL["routing_gates"] = f"WITH c AS ({SQL['routing_confusion']}), r AS (SELECT *, coalesce((n - correct) / nullif(n, 0), 0.0) AS rate FROM c) SELECT truth, round(rate, 6) AS confusion, CASE WHEN precision >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS precision_gate, CASE WHEN recall >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS recall_gate, CASE WHEN rate <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS confusion_gate FROM r"
+SQL["method_metrics"] = f"""WITH {S.HYBRID_SQL}, ranked AS (SELECT query_id, 'bm25' AS method, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, 'knn', doc_id, rank FROM sem WHERE rank <= 10 UNION ALL SELECT query_id, 'hybrid', doc_id, rank FROM hyb),
+    tw AS (SELECT doc_id, {S.TOK.format(x='title')} AS w FROM docs),
+    rel AS (SELECT r.*, CASE WHEN split_part(r.query_id, ':', 3) = split_part(r.doc_id, ':', 3) THEN CASE WHEN len(list_intersect(a.w, b.w)) > 0 THEN 3 ELSE 2 END ELSE 0 END AS rel FROM ranked r JOIN tw a ON a.doc_id = r.doc_id JOIN tw b ON b.doc_id = r.query_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY rel DESC, rank) AS ideal FROM rel),
+    p AS (SELECT query_id, method, CASE WHEN sum(rel) > 0 THEN sum(rel / log2(rank + 1)) / sum(rel / log2(ideal + 1)) ELSE 0.0 END AS ndcg, coalesce(1.0::DOUBLE / min(CASE WHEN rel >= 2 THEN rank END), 0.0) AS mrr FROM o GROUP BY ALL)
+    SELECT method, count(*) AS queries, round(avg(ndcg), 4) AS ndcg, round(avg(mrr), 4) AS mrr FROM p GROUP BY method"""
 ROWS_ONLY = ("bootstrap_ci",)
 QUERIES = {k: globals()[k] for k in (*SQL, *ROWS_ONLY)}

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
+from ..functions import text as TX
+from ..operators import evaluation as E
 from ..operators import search as R
 from ..session import table as t
 
 
-def corpus(s, d):
+def corpus(s, d, *more):
     """Episodes as documents, each once."""
-    return t(s, d, "episodes").select(F.col("episode_id").alias("doc_id"), "show_id", "title", "description").distinct()
+    return t(s, d, "episodes").select(F.col("episode_id").alias("doc_id"), "show_id", "title", "description", *more).distinct()
 
 
 def listed(s, d):
@@ -55,6 +57,25 @@ def phrase_search(s, d):
     return _out(R.phrase_search(listed(s, d), corpus(s, d), 10))
 
 
+def routed_search(s, d):
+    """Each listed query in the index of its language, told by its script."""
+    asked = listed(s, d).withColumn("language", F.when(TX.script_language(F.col("query")) == "zh", "mixed").otherwise("en"))
+    return _out(R.search(asked, corpus(s, d, "target_index"), mode="bm25"))
+
+
+def index_health(s, d):
+    """Coverage and the rate of queries without a result of each index, with their gates."""
+    asked = t(s, d, "query_log").where(F.col("query").isNotNull()).select(F.col("query").alias("query_id"), "query", X.query_alias(X.query_language(F.col("query_lang"))).alias("alias")).distinct()
+    docs = corpus(s, d, "target_index").withColumn("alias", X.route(F.col("target_index"))).where(F.col("alias").isNotNull())
+    rates = None
+    for alias in X.ALIASES.values():
+        mine = asked.where(F.col("alias") == alias)
+        zero = R.zero_results(mine, docs.where(F.col("alias") == alias)).agg(F.count("*").alias("zero"))
+        part = mine.agg(F.count("*").alias("queries")).join(F.broadcast(zero)).select(F.lit(alias).alias("alias"), "queries", "zero")
+        rates = part if rates is None else rates.unionByName(part)
+    return E.index_health(field_coverage(s, d), rates)
+
+
 def knn_topk(s, d):
     return _out(semantic(s, d, 10))
 
@@ -92,7 +113,7 @@ def field_coverage(s, d):
 
 
 TOK = r"regexp_extract_all(regexp_replace(lower(coalesce({x}, '')), '([一-鿿])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}_]+')"
-BI = "list_concat(list_filter(list_transform(range(1, len({t})), lambda i: {t}[i] || {t}[i + 1]), lambda w: regexp_full_match(w, '[一-鿿]{{2}}')), list_filter({t}, lambda w: NOT regexp_full_match(w, '[一-鿿]')))"
+BI = "list_filter(list_transform(range(1, CAST(len({t}) + 1 AS INTEGER)), lambda i: CASE WHEN NOT regexp_full_match({t}[i], '[一-鿿]') THEN {t}[i] WHEN i < len({t}) AND regexp_full_match({t}[i + 1], '[一-鿿]') THEN {t}[i] || {t}[i + 1] END), lambda w: w IS NOT NULL)"
 _C = "docs AS (SELECT DISTINCT episode_id AS doc_id, show_id, title, description FROM episodes)"
 _QC = "qs AS (SELECT query_id, query FROM query_catalog)"
 _USABLE = "embedding IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda x: isfinite(x))) = 384 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -120,13 +141,21 @@ def _scores(chinese: bool = False) -> str:
             FROM post p JOIN dfs d ON d.field = p.field AND d.term = p.term JOIN stats s ON s.field = p.field JOIN terms t ON t.term = p.term AND t.zh = (p.field LIKE '%\\_zh' ESCAPE '\\') GROUP BY ALL)"""
 
 
-_PHRASE = f"""asked AS (SELECT query_id, term, qpos, len(k) AS words FROM (SELECT query_id, k, unnest(k) AS term, unnest(range(len(k))) AS qpos FROM (SELECT query_id, {TOK.format(x='query')} AS k FROM qs))),
-    placed AS (SELECT doc_id, field, len(w) AS dl, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words),
-    pdf AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM placed WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
-    pidf AS (SELECT a.query_id, d.field, sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5))) AS idf FROM asked a JOIN pdf d ON d.term = a.term JOIN stats s ON s.field = d.field GROUP BY ALL),
-    starts AS (SELECT a.query_id, p.doc_id, p.field, p.dl, p.pos - a.qpos AS start, count(*) AS hit, any_value(a.words) AS words FROM placed p JOIN asked a ON a.term = p.term GROUP BY ALL),
+def _phrase(chinese: bool = False) -> str:
+    """CTEs up to pscore(query_id, doc_id, field, score)."""
+    asked = f"SELECT query_id, false AS zh, {TOK.format(x='query')} AS k FROM qs"
+    if chinese:
+        asked += f" UNION ALL SELECT query_id, true, {BI.format(t='k')} FROM (SELECT query_id, {TOK.format(x='query')} AS k FROM qs)"
+    return f"""asked AS (SELECT query_id, zh, term, qpos, len(k) AS words FROM (SELECT query_id, zh, k, unnest(k) AS term, unnest(range(len(k))) AS qpos FROM ({asked}))),
+    placed AS (SELECT doc_id, field, field LIKE '%\\_zh' ESCAPE '\\' AS zh, len(w) AS dl, unnest(w) AS term, unnest(range(len(w))) AS pos FROM words),
+    pdf AS (SELECT field, zh, term, count(DISTINCT doc_id) AS df FROM placed WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    pidf AS (SELECT a.query_id, d.field, sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5))) AS idf FROM asked a JOIN pdf d ON d.term = a.term AND d.zh = a.zh JOIN stats s ON s.field = d.field GROUP BY ALL),
+    starts AS (SELECT a.query_id, p.doc_id, p.field, p.dl, p.pos - a.qpos AS start, count(*) AS hit, any_value(a.words) AS words FROM placed p JOIN asked a ON a.term = p.term AND a.zh = p.zh GROUP BY ALL),
     whole AS (SELECT query_id, doc_id, field, dl, count(*) AS tf FROM starts WHERE hit = words GROUP BY ALL),
     pscore AS (SELECT w.query_id, w.doc_id, w.field, i.idf * w.tf * 2.2 / (w.tf + 1.2 * (0.25 + 0.75 * w.dl / s.avgdl)) AS score FROM whole w JOIN pidf i ON i.query_id = w.query_id AND i.field = w.field JOIN stats s ON s.field = w.field)"""
+
+
+_PHRASE = _phrase()
 _BOOST = "CASE WHEN field LIKE 'title%' THEN 3.0 ELSE 1.0 END"
 
 
@@ -148,7 +177,7 @@ _SEL = "SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6)
 SQL = {
     "bm25_prod": f"WITH {_C}, {_QC}, {_scores()}, {_PHRASE}, {_top(_PROD, 10, 'r')} {_SEL} r",
     "bm25_eval": f"WITH {_C}, {_QC}, {_scores(True)}, {_top(f'SELECT query_id, doc_id, max(score * {_BOOST}) AS score FROM fscore GROUP BY ALL', 10, 'r')} {_SEL} r",
-    "phrase_search": f"WITH {_C}, {_QC}, {_scores()}, {_PHRASE}, {_top(f'SELECT query_id, doc_id, sum(score * {_BOOST}) AS score FROM pscore GROUP BY ALL', 10, 'r')} {_SEL} r",
+    "phrase_search": f"WITH {_C}, {_QC}, {_scores(True)}, {_phrase(True)}, {_top(f'SELECT query_id, doc_id, sum(score * {_BOOST}) AS score FROM pscore GROUP BY ALL', 10, 'r')} {_SEL} r",
     "knn_topk": f"WITH {_SEEDS}, {_top(_KNN, 10, 'r')} {_SEL} r",
     "rrf_fusion": f"WITH {_BOTH} SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM lex UNION ALL SELECT query_id, doc_id, rank FROM sem) GROUP BY ALL",
     "hybrid_search": f"WITH {_HYBRID} {_SEL} hyb",
@@ -165,5 +194,23 @@ SQL = {
         round(count(v.episode_id) / count(*), 6) AS embedding, round(count(*) FILTER (WHERE image_url IS NOT NULL AND image_url <> '') / count(*), 6) AS image_url, round(count(*) FILTER (WHERE description IS NOT NULL) / count(*), 6) AS description
         FROM e LEFT JOIN v ON v.episode_id = e.episode_id GROUP BY 1""",
 }
+_ISZH = "length(replace(query, ' ', '')) > 0 AND length(regexp_replace(query, '[^一-鿿]', '', 'g')) / length(replace(query, ' ', '')) > 0.3"
+
+
+def _routed(target: str, zh: str) -> str:
+    docs = f"docs AS (SELECT DISTINCT episode_id AS doc_id, show_id, title, description FROM episodes WHERE target_index = '{target}'), qs AS (SELECT query_id, query FROM query_catalog WHERE {zh} ({_ISZH}))"
+    return f"SELECT * FROM (WITH {docs}, {_scores()}, {_PHRASE}, {_top(_PROD, 10, 'r')} {_SEL} r)"
+
+
+def _zero(alias: str, target: str, langs: str) -> str:
+    return f"""SELECT * FROM (WITH known AS (SELECT DISTINCT unnest({TOK.format(x="coalesce(title, '') || ' ' || coalesce(description, '')")}) AS term FROM episodes WHERE target_index = '{target}'),
+        asked AS (SELECT DISTINCT query FROM query_log WHERE query IS NOT NULL AND {langs}), ok AS (SELECT DISTINCT query FROM (SELECT query, unnest({TOK.format(x='query')}) AS term FROM asked) WHERE term IN (SELECT term FROM known))
+        SELECT '{alias}' AS alias, count(*) AS queries, count(*) FILTER (WHERE ok.query IS NULL) AS zero FROM asked LEFT JOIN ok ON ok.query = asked.query)"""
+
+
+SQL["routed_search"] = _routed("podcast-episodes-zh-tw", "") + " UNION ALL " + _routed("podcast-episodes-en", "NOT")
+SQL["index_health"] = f"""WITH c AS ({SQL['field_coverage']}), z AS ({_zero('episodes-zh-tw', 'podcast-episodes-zh-tw', "coalesce(query_lang, '') NOT IN ('zh-cn', 'en')")} UNION ALL {_zero('episodes-zh-cn', 'podcast-episodes-zh-cn', "query_lang = 'zh-cn'")} UNION ALL {_zero('episodes-en', 'podcast-episodes-en', "query_lang = 'en'")})
+    SELECT c.alias, docs, embedding, CASE WHEN embedding >= 0.99 THEN 'PASS' ELSE 'FAIL' END AS embedding_gate, image_url, CASE WHEN image_url >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS image_url_gate, description,
+    round(zero / nullif(queries, 0), 4) AS zero_rate, CASE WHEN queries = 0 THEN 'N/A' WHEN zero / queries <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS zero_gate FROM c JOIN z ON z.alias = c.alias"""
 QUERIES = {k: globals()[k] for k in SQL}
 HYBRID_SQL, LEX_SQL = _HYBRID, _LEX

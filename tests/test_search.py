@@ -117,3 +117,34 @@ def test_bootstrap_does_not_depend_on_the_partitions(spark):
     values = [r.ndcg for r in rows.where("method = 'm' and ndcg is not null").collect()]
     mean, sd = np.mean(values), np.std(values) / len(values) ** 0.5
     assert abs(low - (mean - 1.96 * sd)) < 0.3 * sd and abs(high - (mean + 1.96 * sd)) < 0.3 * sd
+
+
+def test_routing_by_language(spark):
+    docs = [("d1", "s", "solar power", None, "podcast-episodes-en"), ("d2", "s", "solar power 太陽", None, "podcast-episodes-zh-tw"), ("d3", "s", "solar", None, None), ("d4", "s", "solar", None, "podcast-episodes-zh-cn")]
+    corpus = spark.createDataFrame(docs, "doc_id string, show_id string, title string, description string, target_index string")
+    asked = spark.createDataFrame([("q1", "solar", "en"), ("q2", "solar", "mixed"), ("q3", "solar", "zh-cn"), ("q4", "solar", None)], "query_id string, query string, language string")
+    for mode in ("bm25", "bm25_eval", "exact"):
+        assert {(r.query_id, r.doc_id) for r in R.search(asked, corpus, mode=mode).collect()} == {("q1", "d1"), ("q2", "d2"), ("q3", "d4"), ("q4", "d2")}
+
+
+def test_phrases_of_chinese_fields(spark, corpus):
+    found = R.phrase_search(queries(spark, "列車 旅", "solar power", "power solar home", "夜"), corpus)
+    scores = {(r.query_id, r.doc_id): r.score for r in found.collect()}
+    assert set(scores) == {("q0", "d3"), ("q1", "d1"), ("q1", "d5"), ("q3", "d3")}
+    one = {(r.query_id, r.doc_id): r.score for r in R.phrase_search(queries(spark, "列車 旅"), corpus, fields={"title": 3.0, "description": 1.0}).collect()}
+    assert scores["q0", "d3"] > one["q0", "d3"]  # the Chinese field adds its clause
+
+
+def test_hits_and_identity(spark, corpus):
+    found = spark.createDataFrame([("q", "d1", 1.0, 1), ("q", "gone", 0.5, 2)], "query_id string, doc_id string, score double, rank int")
+    assert {(r.doc_id, r.title) for r in R.hits(found, corpus).collect()} == {("d1", "Solar power at home"), ("gone", None)}
+    assert scalars.expected_identity("en")["dims"] == 384
+    with pytest.raises(KeyError):
+        scalars.expected_identity("de")
+
+
+def test_ingest_summary(spark):
+    docs = spark.createDataFrame([("en", "en", False)] * 18 + [("zh", None, False), (None, "zh", True)], "alias string, language string, failed boolean")
+    r = E.ingest_summary(docs).first()
+    assert (r.indexes, r.languages, r.succeeded, r.failed, r.uncertain_rate, r.warning) == ({"en": 18, "zh": 1}, {"en": 18, "unknown": 1}, 19, 1, 0.05, False)
+    assert E.ingest_summary(docs.limit(0)).first().uncertain_rate == 0.0

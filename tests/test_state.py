@@ -272,3 +272,17 @@ def test_cuts_are_released(spark):
     path = Path(session.shared_folder(spark).removeprefix("file:"))
     assert df.count() == 5 and list(path.glob("cut-*"))
     assert session.release_cuts(spark) >= 1 and not list(path.glob("cut-*"))
+
+
+def test_migration_of_sync_rows(spark):
+    old = spark.createDataFrame([("episode", "e1", "a", "synced", "2024-01-01"), ("episode", "e1", "b", None, "2024-02-01"), ("show", "s1", None, None, None)], "entity_type string, entity_id string, index_alias string, sync_status string, last_synced_at string")
+    new = state.migrate_sync_state(old)
+    assert {(r.entity_id, r.environment, r.index_alias, r.sync_status) for r in new.collect()} == {("e1", "default", "b", "pending"), ("s1", "default", None, "pending")}
+    assert sorted(map(tuple, state.migrate_sync_state(new).collect()), key=str) == sorted(map(tuple, new.collect()), key=str)
+
+
+def test_shows_and_feed_files(spark):
+    shows = spark.createDataFrame([("show:apple:1",), ("show:apple:2",), (None,)], "show_id string")
+    files = spark.createDataFrame([("/x/show_apple_1.xml",), ("/a/show_apple_1.xml",), ("/x/show_apple_9.rss",), (None,)], "path string")
+    got = {tuple(r) for r in state.shows_with_feeds(shows, files).collect()}
+    assert got == {("show:apple:1", "/a/show_apple_1.xml", "matched"), ("show:apple:2", None, "no_feed"), (None, "/x/show_apple_9.rss", "no_show")}
