@@ -106,7 +106,11 @@ class Store:
             raise ValueError(f"{alias} is a dataset; an alias cannot have its name")
         if not self._fs.exists(self._path(f"{self.root}/{version}/_SUCCESS")):
             raise ValueError(f"{version} is not complete")
-        self._write("_aliases.json", json.dumps(self.aliases() | {alias: version}, indent=1, sort_keys=True))
+        self.publish_all({alias: version})
+
+    def publish_all(self, versions: dict[str, str]) -> None:
+        """Point several aliases to their versions in one step."""
+        self._write("_aliases.json", json.dumps(self.aliases() | versions, indent=1, sort_keys=True))
 
     def read(self, name: str) -> DataFrame:
         """The dataset behind an alias, or a version by its own name."""
@@ -137,7 +141,7 @@ class Store:
         merged = upsert_latest(present, fresh, keys, version).withColumn("_bucket", at)
         v = self.write_version(merged.repartition("_bucket"), f"{alias}-buckets", ["_bucket"])
         self._write(f"_buckets/{alias}.json", json.dumps({"buckets": buckets}))
-        self._write("_aliases.json", json.dumps(self.aliases() | {f"{alias}#{i}": f"{v}/_bucket={i}" for i in touched}, indent=1, sort_keys=True))
+        self.publish_all({f"{alias}#{i}": f"{v}/_bucket={i}" for i in touched})
         return touched
 
     def exists(self, name: str) -> bool:

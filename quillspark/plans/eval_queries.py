@@ -14,6 +14,7 @@ from ..operators import cleaning as C
 from ..operators import evaluation as E
 from ..operators import search as R
 from ..operators.timestamps import utc_micros, utc_seconds
+from ..session import cut_lineage
 from ..session import table as t
 from . import cleaning_queries as CQ
 from . import search_queries as S
@@ -97,20 +98,25 @@ def no_annotation_summary(s, d):
     return rows.select(F.round("dominance", 4).alias("dominance"), F.round("intrusion", 4).alias("intrusion"), F.round("stability", 4).alias("stability"), (clean & diverse & stable).alias("passed"))
 
 
+def _lists(s, d):
+    """The lexical and the semantic lists, each made once for all that read them."""
+    return cut_lineage(S.lexical(s, d)), cut_lineage(S.semantic(s, d))
+
+
 def method_comparison(s, d):
-    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    lex, sem = _lists(s, d)
     m = E.method_comparison(lex, sem, R.hybrid(lex, sem, S.corpus(s, d)))
     return m.withColumns({c: F.round(c, 4) for c in ("bm25_knn", "bm25_hybrid", "knn_hybrid")})
 
 
 def overlap_averages(s, d):
-    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    lex, sem = _lists(s, d)
     return E.overlap_averages(E.method_comparison(lex, sem, R.hybrid(lex, sem, S.corpus(s, d))))
 
 
 def method_metrics(s, d):
     """The three methods, run, against judgments: a document of the query's own show is relevant, more so if its title shares a word."""
-    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    lex, sem = _lists(s, d)
     runs = {"bm25": lex, "knn": sem, "hybrid": R.hybrid(lex, sem, S.corpus(s, d))}
     ranked = None
     for name, found in runs.items():
@@ -126,7 +132,7 @@ def method_metrics(s, d):
 
 
 def annotation_pool(s, d):
-    lex, sem = S.lexical(s, d), S.semantic(s, d)
+    lex, sem = _lists(s, d)
     top = lambda x: x.where(F.col("rank") <= 10)
     pool = E.annotation_pool(("bm25", top(lex)), ("embedding", top(sem)), ("hybrid", R.hybrid(lex, sem, S.corpus(s, d))))
     ranks = F.array_join(F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")

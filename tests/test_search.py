@@ -148,3 +148,18 @@ def test_ingest_summary(spark):
     r = E.ingest_summary(docs).first()
     assert (r.indexes, r.languages, r.succeeded, r.failed, r.uncertain_rate, r.warning) == ({"en": 18, "zh": 1}, {"en": 18, "unknown": 1}, 19, 1, 0.05, False)
     assert E.ingest_summary(docs.limit(0)).first().uncertain_rate == 0.0
+
+
+def test_an_index_answers_as_the_corpus_does(spark, corpus, tmp_path):
+    from quillspark.operators.sinks import Store
+
+    index = R.SearchIndex(Store(spark, str(tmp_path / "i")), "episodes")
+    index.write(corpus, buckets=8)
+    asked = queries(spark, "solar power", "夜間列車", "habit", "nothing here", "列車 旅")
+    plain = lambda df: sorted((r.query_id, r.doc_id, r.rank, round(r.score, 9)) for r in df.collect())
+    for mode in ("production", "evaluation"):
+        assert plain(R.bm25(asked, index, mode=mode)) == plain(R.bm25(asked, corpus, mode=mode))
+    assert plain(R.phrase_search(asked, index)) == plain(R.phrase_search(asked, corpus))
+    assert "PartitionFilters: [" in index.postings(R.query_terms(asked))._jdf.queryExecution().toString()
+    index.write(corpus.limit(0))
+    assert R.bm25(asked, index).count() == 0
