@@ -234,8 +234,8 @@ def routing_gates(matrix: DataFrame, gates: dict[str, float] | None = None) -> D
 
 
 def overlap_averages(compared: DataFrame) -> DataFrame:
-    """One row over `method_comparison`: means of the overlaps and of what one method found alone, and how often the fusion helped."""
-    avg = lambda c, n: F.round(F.avg(c), n).alias(f"avg_{c}")
+    """One row over `method_comparison`: means of the overlaps (of four decimals each) and of what one method found alone, and how often the fusion helped."""
+    avg = lambda c, n: F.avg(F.round(c, n)).alias(f"avg_{c}")
     a, b = F.col("hybrid_from_bm25"), F.col("hybrid_from_knn")
     return compared.agg(
         F.count("*").alias("queries"), *(avg(c, 4) for c in ("bm25_knn", "bm25_hybrid", "knn_hybrid")), *(avg(c, 2) for c in ("bm25_only", "knn_only", "in_both")),

@@ -111,7 +111,8 @@ def method_comparison(s, d):
 
 def overlap_averages(s, d):
     lex, sem = _lists(s, d)
-    return E.overlap_averages(E.method_comparison(lex, sem, R.hybrid(lex, sem, S.corpus(s, d))))
+    a = E.overlap_averages(E.method_comparison(lex, sem, R.hybrid(lex, sem, S.corpus(s, d))))
+    return a.select(*(F.round(c, 6).alias(c) if c.startswith("avg_") else c for c in a.columns))
 
 
 def method_metrics(s, d):
@@ -346,7 +347,7 @@ SQL |= {
     "incremental_annotation": f"""WITH {_SCORED}, oldp AS (SELECT * FROM scored WHERE {_OLD}), newp AS (SELECT * FROM scored WHERE NOT {_OLD}), {_labels('oldp', 'a')}, {_labels('newp', 'b')}
         SELECT query_id, doc_id, 'kept' AS origin, label FROM a UNION ALL SELECT query_id, doc_id, 'new', label FROM b""",
 }
-SQL["overlap_averages"] = f"WITH m AS ({SQL['method_comparison']}) SELECT count(*) AS queries, round(avg(bm25_knn), 4) AS avg_bm25_knn, round(avg(bm25_hybrid), 4) AS avg_bm25_hybrid, round(avg(knn_hybrid), 4) AS avg_knn_hybrid, round(avg(bm25_only), 2) AS avg_bm25_only, round(avg(knn_only), 2) AS avg_knn_only, round(avg(in_both), 2) AS avg_in_both, count(*) FILTER (WHERE hybrid_from_bm25 > 0 AND hybrid_from_knn > 0) AS hybrid_helps, count(*) FILTER (WHERE hybrid_from_bm25 > hybrid_from_knn) AS bm25_better, count(*) FILTER (WHERE hybrid_from_knn > hybrid_from_bm25) AS knn_better FROM m"
+SQL["overlap_averages"] = f"WITH m AS ({SQL['method_comparison']}) SELECT count(*) AS queries, round(avg(bm25_knn), 6) AS avg_bm25_knn, round(avg(bm25_hybrid), 6) AS avg_bm25_hybrid, round(avg(knn_hybrid), 6) AS avg_knn_hybrid, round(avg(bm25_only), 6) AS avg_bm25_only, round(avg(knn_only), 6) AS avg_knn_only, round(avg(in_both), 6) AS avg_in_both, count(*) FILTER (WHERE hybrid_from_bm25 > 0 AND hybrid_from_knn > 0) AS hybrid_helps, count(*) FILTER (WHERE hybrid_from_bm25 > hybrid_from_knn) AS bm25_better, count(*) FILTER (WHERE hybrid_from_knn > hybrid_from_bm25) AS knn_better FROM m"
 SQL["routing_gates"] = f"WITH c AS ({SQL['routing_confusion']}), r AS (SELECT *, coalesce((n - correct) / nullif(n, 0), 0.0) AS rate FROM c) SELECT truth, round(rate, 6) AS confusion, CASE WHEN precision >= 0.95 THEN 'PASS' ELSE 'FAIL' END AS precision_gate, CASE WHEN recall >= 0.9 THEN 'PASS' ELSE 'FAIL' END AS recall_gate, CASE WHEN rate <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS confusion_gate FROM r"
 SQL["method_metrics"] = f"""WITH {S.HYBRID_SQL}, ranked AS (SELECT query_id, 'bm25' AS method, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT query_id, 'knn', doc_id, rank FROM sem WHERE rank <= 10 UNION ALL SELECT query_id, 'hybrid', doc_id, rank FROM hyb),
     tw AS (SELECT doc_id, {S.TOK.format(x='title')} AS w FROM docs),
