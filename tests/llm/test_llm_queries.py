@@ -57,3 +57,25 @@ def test_prose_verdicts_against_labels(spark, small):
     labels = spark.read.parquet(f"{small}/doc_labels.parquet").toPandas()
     found = {r.doc_id for r in Q.queries()["p8_found"](spark, small).collect()}
     assert np.mean([(d in found) != p for d, p in zip(labels.doc_id, labels.is_prose)]) > 0.95
+
+
+def test_languages_of_lines(spark, small):
+    rows = Q.queries()["p4_languages"](spark, small).toPandas()
+    assert list(rows.columns) == ["episode_id", "line_no", "lang", "confidence"] and not rows.duplicated().any()
+    told = rows[rows.lang.notna()]
+    assert len(told) and told.confidence.between(0, 1).all() and set(told.lang) <= {"de", "en", "es", "fr", "ja", "zh-cn", "zh-tw"}
+    described = spark.read.parquet(f"{small}/episodes.parquet").where("description is not null").select("episode_id").distinct().count()
+    assert rows[rows.line_no.isna()].episode_id.nunique() == described
+
+
+def test_classes_hold_the_pairs(spark, small):
+    classes = Q.queries()["p5_classes"](spark, small).toPandas()
+    assert list(classes.columns) == ["field", "show_id", "episode_id", "form", "variants"] and (classes.variants >= 2).all()
+    pairs = {(r.field, k) for r in Q.queries()["p5_found"](spark, small).where("field <> 'query'").collect() for k in (r.key_a, r.key_b)}
+    assert pairs == set(zip(classes.field, classes.episode_id))
+
+
+def test_packing_report(spark, small):
+    r = Q.queries()["p6_packing"](spark, small).first()
+    sizes = [x.n + 1 for x in spark.read.parquet(f"{small}/documents.parquet").where("text <> ''").select(F.octet_length("text").alias("n")).collect()]
+    assert (r.documents, r.tokens) == (len(sizes), sum(sizes)) and r.bound <= r.bins <= r.bound * 1.005 + 1 and r.most_fill <= 4096
