@@ -6,7 +6,6 @@ import html
 import unicodedata
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 

@@ -13,7 +13,7 @@ from ..functions import text as TX
 from ..operators import cleaning as C
 from ..operators import evaluation as E
 from ..operators import search as R
-from ..operators.timestamps import utc_micros, utc_seconds
+from ..operators.timestamps import utc_micros
 from ..session import cut_lineage
 from ..session import table as t
 from . import cleaning_queries as CQ
