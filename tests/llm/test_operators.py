@@ -2,7 +2,6 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
