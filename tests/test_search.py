@@ -163,3 +163,36 @@ def test_an_index_answers_as_the_corpus_does(spark, corpus, tmp_path):
     assert "PartitionFilters: [" in index.postings(R.query_terms(asked))._jdf.queryExecution().toString()
     index.write(corpus.limit(0))
     assert R.bm25(asked, index).count() == 0
+
+
+def wordy(spark, n=60):
+    rng = random.Random(7)
+    title = lambda: " ".join(rng.choice("the of sea night train home power 海 夜".split()) for _ in range(rng.randint(0, 6)))
+    return spark.createDataFrame([(f"d{i}", "s", title(), title() + " " + title()) for i in range(n)], "doc_id string, show_id string, title string, description string")
+
+
+@pytest.mark.parametrize("block_rows,chunk_rows", [(8192, 8192), (7, 4)])
+def test_bm25_in_blocks_is_bm25_of_all_pairs(spark, block_rows, chunk_rows):
+    corpus = wordy(spark)
+    asked = corpus.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    terms, placed, stats = R._searched(asked, corpus, R.PRODUCTION)
+    best = R.field_scores(terms, placed, stats).withColumn("score", F.col("score") * R._boost(R.PRODUCTION)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    phrase = R.phrase_scores(asked, placed, stats, {"title": 2.0}).select("query_id", "doc_id", (F.col("score") * 2.0).alias("score"))
+    want = R.top(best.unionByName(phrase).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), 5)
+    found = R.top(R.bm25_blocks(asked, corpus, R.PRODUCTION, {"title": 2.0}, 5, block_rows=block_rows, blocks_a_task=2, chunk_rows=chunk_rows), 5)
+    rows = lambda df: {(r.query_id, r.rank): (r.doc_id, round(r.score, 8)) for r in df.collect()}
+    assert rows(found) == rows(want)
+
+
+def test_pairs_of_a_common_word_are_not_shuffled(spark):
+    corpus = wordy(spark)
+    found = R.bm25(corpus.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")), corpus, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("block_rows", [16_384, 10])
+def test_equal_neighbours_come_by_id(spark, block_rows):
+    v = spark.createDataFrame([(f"d{i:02}", [1.0, 1.0]) for i in range(60, -1, -1)] + [("a", [1.0, 0.0])], "doc_id string, embedding array<float>")
+    got = R.knn(v.where("doc_id = 'a'").withColumnRenamed("doc_id", "query_id"), v, 2, 3, block_rows=block_rows)
+    assert ranked(got) == [("a", "d00"), ("a", "d01"), ("a", "d02")]
