@@ -99,3 +99,13 @@ def test_ids_and_versions(spark):
 
 def test_portable_patterns():
     assert patterns.portable(r"a\s+[\w:]+.\S") == r"(?i)a[\s\p{Z}]+[\p{L}\p{N}_:]+[^" + "\n" + r"][^\s\p{Z}]"
+
+
+def test_similarity_keeps_its_pairs_in_cells(spark):
+    texts = spark.createDataFrame([(f"t{i}", " ".join(f"w{j % 7}" for j in range(i % 9))) for i in range(50)], "k string, x string")
+    known = spark.createDataFrame([("w0 w1 w2",), ("w2 w1 w0",), ("w3 w4 w5 w6 w7",), (" ",)], "norm string")
+    sets = [{"w0", "w1", "w2"}, {"w3", "w4", "w5", "w6", "w7"}]
+    want = {r.k: max(len(s & set(r.x.split())) / len(s | set(r.x.split())) for s in sets) for r in texts.collect()}
+    found = cleaning.boilerplate_similarity(texts, "k", "x", known, "norm", text_rows=9, set_rows=1)
+    assert {r.k: r.similarity for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
