@@ -81,6 +81,17 @@ def test_blocks_let_all_pieces_meet():
     assert all(any({a, b} <= g for g in groups) for a in range(6) for b in range(6)) and {6, 7, 8} in groups
 
 
+def test_neighbours_are_the_same_in_turns(spark, monkeypatch):
+    """Above BROADCAST_ROWS vectors are packed before they are joined, and groups are reranked in turns."""
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(clustered(600, 48))], "vec_id bigint, embedding array<float>")
+    rows = lambda: {(r.vec_id, r.neighbor, round(r.similarity, 5)) for r in neighbors.nearest_neighbors(v, "vec_id", "embedding", 48, 5).collect()}
+    want, seen = rows(), []
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neighbors, "_spread", lambda turn, turns, f=neighbors._spread: (seen.append(turn), f(turn, turns))[1], raising=False)
+    assert rows() == want
+    assert seen == list(range(len(seen))) and len(seen) > 1
+
+
 def test_neighbours_copies_and_bad_rows(spark):
     x = clustered(300)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(150)] + [(5, x[5].tolist())]
