@@ -196,3 +196,49 @@ def test_equal_neighbours_come_by_id(spark, block_rows):
     v = spark.createDataFrame([(f"d{i:02}", [1.0, 1.0]) for i in range(60, -1, -1)] + [("a", [1.0, 0.0])], "doc_id string, embedding array<float>")
     got = R.knn(v.where("doc_id = 'a'").withColumnRenamed("doc_id", "query_id"), v, 2, 3, block_rows=block_rows)
     assert ranked(got) == [("a", "d00"), ("a", "d01"), ("a", "d02")]
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of a run write for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    written = lambda: sum(x.shuffleWriteBytes() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+    wait = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    wait()
+    before = written()
+    run()
+    wait()
+    return written() - before
+
+
+def test_vectors_of_the_corpus_are_not_shuffled(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(3000, 384)).astype("f4")
+    spark.createDataFrame([(f"d{i}", r.tolist()) for i, r in enumerate(x)], "doc_id string, embedding array<float>").write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    got = []
+    size = shuffled(spark, lambda: got.extend(R.knn(v.where("doc_id < 'd1002'").withColumnRenamed("doc_id", "query_id"), v, 384, 3, chunk_rows=5).collect()))
+    assert size < x.nbytes / 4
+    c = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    asked = sorted({r.query_id for r in got})
+    assert len(asked) == 6
+    for q in asked:
+        s = c @ c[int(q[1:])]
+        assert {r.doc_id for r in got if r.query_id == q} == {f"d{i}" for i in np.argsort(-s)[1:4]}
+
+
+def test_texts_are_not_shuffled_for_each_chunk_of_queries(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"d{i}", "s", f"t{i} night", " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id string, show_id string, title string, description string").write.parquet(str(tmp_path / "c"))
+    corpus = spark.read.parquet(str(tmp_path / "c"))
+    asked = corpus.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+    one, many = (shuffled(spark, lambda n=n: R.bm25_blocks(asked, corpus, R.PRODUCTION, {"title": 2.0}, 1, chunk_rows=n).collect()) for n in (400, 40))
+    assert many < 1.5 * one
+
+
+def test_one_vector_of_an_id_and_none_without(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("b", [1.0, 0.1]), ("c", [float("nan"), 1.0]), ("c", [0.0, 1.0]), (None, [1.0, 0.0]), ("e", [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "doc_id string, embedding array<float>")
+    assert ranked(R.knn(v.where("doc_id = 'a'").withColumnRenamed("doc_id", "query_id"), v, 2, 5)) == [("a", "b"), ("a", "c")]
+    assert R.knn(v.where("doc_id = 'z'").withColumnRenamed("doc_id", "query_id"), v, 2, 5).count() == 0
+    assert R.bm25(queries(spark).limit(0), v.select("doc_id", F.lit("s").alias("show_id"), F.lit("x").alias("title"), F.lit("x").alias("description")), 5).count() == 0
