@@ -514,3 +514,18 @@ def test_model_learns_from_labels_of_documents(spark):
     assert model.prose(quality.Pieces.of("\n".join(prose() for _ in range(50)))).mean() > 0.9 and model.prose(quality.Pieces.of("\n".join(other() for _ in range(50)))).mean() < 0.1
     none = quality.fit_line_model(labelled.limit(0), "doc_id", "text", "is_prose")
     assert none.prose(quality.Pieces.of("One short sentence stands right here.\nno end here")).tolist() == [True, False]
+
+
+def test_labels_of_a_bucket_do_not_depend_on_the_order_of_its_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 2**62, (300, 3), dtype="i8")
+    codes[1::3] = codes[::3] ^ 1  # a third has one near code, a third is that code
+    columns = [np.zeros(300, "i4"), np.arange(300, dtype="i8") // 100, np.zeros(300, "i8"), rng.permutation(300).astype("i8"), *codes.T]
+    found = []
+    for order in (np.arange(300), np.arange(300)[::-1], rng.permutation(300)):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[order])) for c in columns], ["t", "key", "sub", "cid", "c0", "c1", "c2"])
+        found.append({r["cid"]: r for b in neighbors._label_buckets(30, 256)(iter([batch])) for r in b.to_pylist()})
+    assert found[0] == found[1] == found[2]
+    assert any(r["label"] is None for r in found[0].values())
