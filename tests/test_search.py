@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars
 from quillspark.operators import evaluation as E
 from quillspark.operators import search as R
+from quillspark.plans import eval_queries as EQ
 
 
 @pytest.fixture(scope="module")
@@ -242,3 +243,23 @@ def test_one_vector_of_an_id_and_none_without(spark):
     assert ranked(R.knn(v.where("doc_id = 'a'").withColumnRenamed("doc_id", "query_id"), v, 2, 5)) == [("a", "b"), ("a", "c")]
     assert R.knn(v.where("doc_id = 'z'").withColumnRenamed("doc_id", "query_id"), v, 2, 5).count() == 0
     assert R.bm25(queries(spark).limit(0), v.select("doc_id", F.lit("s").alias("show_id"), F.lit("x").alias("title"), F.lit("x").alias("description")), 5).count() == 0
+
+
+def test_stability_shuffles_no_texts_of_the_corpus(spark, tmp_path):
+    rng = random.Random(4)
+    marks = "!?#%&/()=+*~<>|;:,.-"
+    rows = [(f"episode:apple:1:{i}", "show:apple:1", f"night train {i}", "".join(rng.choice(marks) for _ in range(1000)) + " lamp") for i in range(2000)]
+    spark.createDataFrame(rows + rows[:20], "episode_id string, show_id string, title string, description string").write.parquet(str(tmp_path / "episodes.parquet"))
+    spark.createDataFrame([(i, f"episode:apple:1:{i}", [1.0] * 384) for i in range(0, 300, 50)], "vec_id long, episode_id string, embedding array<float>").write.parquet(str(tmp_path / "episode_vectors.parquet"))
+    got = []
+    size = shuffled(spark, lambda: got.extend(EQ.stability(spark, str(tmp_path)).collect()))
+    assert size < 1000 * len(rows) / 4
+    assert {r.query_id for r in got} == {f"episode:apple:1:{i}" for i in (0, 100, 200)}
+
+
+@pytest.mark.parametrize("most", [R.BROADCAST_ROWS, 0])
+def test_distinct_rows_are_those_of_distinct(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", most)
+    rows = [("s", "a", "x"), ("s", "a", "x"), ("s", "a", "y"), ("s", "b", None), ("s", "b", None), (None, "c", "x"), ("s", None, "x"), ("s", None, "x"), (None, None, None), ("t", "d", "x")]
+    df = spark.createDataFrame(rows, "show_id string, doc_id string, title string")
+    assert sorted(map(repr, R.distinct_rows(df, "doc_id").select(df.columns).collect())) == sorted(map(repr, df.distinct().collect()))
